@@ -2,12 +2,16 @@
 
 from trackloom.llm.bpe_automaton import op3_bpe_automaton
 from trackloom.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from trackloom.llm.jaccard_join import op2_jaccard_join
 from trackloom.llm.mixing import op5_mixing
+from trackloom.llm.substring_dedup import op4_substring_dedup
 from trackloom.llm.token_output import op8_token_output
 from trackloom.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_bpe_automaton": op3_bpe_automaton,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
