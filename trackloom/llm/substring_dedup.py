@@ -11,8 +11,7 @@
    are put in order of the text left of the anchor, read backwards: neighbours show how far a member
    extends to the left together with another one, and whether the interval is left-diverse, that is
    a maximal repeat. Where left and right extent make up LENGTH, the member's bytes repeat.
-   A gram with over GROUP contexts is settled by the hashes of all windows of its contexts instead,
-   counted by Spark.
+   A gram with over GROUP contexts is first divided by what its windows contain; see _large().
 """
 
 from __future__ import annotations
@@ -28,8 +27,9 @@ from trackloom.llm.common import discard, materialize, mix, powers, text_chunks
 
 LENGTH, GRAM = 400, 64
 LEFT = LENGTH - GRAM
-#: Distinct contexts of a gram that one task puts in order; beyond it windows are counted.
+#: Distinct contexts of a gram that one task puts in order.
 GROUP = 4096
+MOST_LISTED = 2000
 _ORDER_BITS = np.uint64(31)
 
 
@@ -211,15 +211,64 @@ def _settle(batches):
     yield batch_of(done)
 
 
-def _windows(batches):
-    """All windows of contexts by hash: gram, c1, c2, n, s (bytes left of the anchor), w1, w2."""
-    for batch in batches:
-        for g, c1, c2, n, a, b in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
-            raw = np.frombuffer(a[::-1] + b, np.uint8)
-            w1, w2 = gram_hashes(raw, LENGTH), gram_hashes(raw ^ np.uint8(0xA5), LENGTH)
-            m = len(w1)
-            full = lambda v: pa.array(np.full(m, v, np.int64))
-            yield pa.RecordBatch.from_arrays([full(g), full(c1), full(c2), full(n), pa.array(len(a) - np.arange(m)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], names=["gram", "c1", "c2", "n", "s", "w1", "w2"])
+def _classes(width: int):
+    """Contexts -> window classes: gram, a (windows with a .. a + width - 1 bytes left of the anchor), the hash
+    of the bytes that all of them share (k1, k2) and of those that any has (r1, r2), c1, c2, n, extents l, r."""
+
+    def run(batches):
+        import hashlib
+
+        two = lambda x: np.frombuffer(hashlib.blake2b(x, digest_size=16).digest(), np.int64).tolist()
+        for batch in batches:
+            out = []
+            for g, c1, c2, n, a, b, first, last in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
+                text, at = a[::-1] + b, len(a)
+                for s in range(first, min(last, at + 1), width):
+                    share = text[at - s : at + LENGTH - s - width + 1]
+                    if len(share) < LENGTH - width + 1:
+                        continue
+                    l, r = min(at, s + width - 1, last - 1), min(len(b), LENGTH - s)
+                    # The reach of a context that ends early is its own.
+                    out.append((g, s, *two(share), *two(text[at - l : at + r] + bytes((l % 256, r % 256))), c1, c2, n, l, r))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["gram", "a", "k1", "k2", "r1", "r2", "c1", "c2", "n", "l", "r"])
+
+    return run
+
+
+def _large(held: DataFrame) -> DataFrame:
+    """Extents of repeating contexts of grams with many of them: windows are halved into finer classes.
+
+    A class holds the contexts that share what all its windows have in common. Contexts equal in all
+    the class's windows repeat there, and one of them goes on; classes of up to GROUP contexts are
+    settled by the interval tree; larger ones are cut into finer classes, down to single windows.
+    """
+    keys = ["gram", "a", "k1", "k2"]
+    found, todo = [], held.select("gram", "c1", "c2", "n", "left", "right", F.lit(0).alias("first"), F.lit(LEFT + 1).alias("last"))
+    for width in (84, 21, 5, 1):
+        rows = materialize(todo.mapInArrow(_classes(width), "gram long, a long, k1 long, k2 long, r1 long, r2 long, c1 long, c2 long, n long, l long, r long"), "window-classes")
+        best = F.min_by(F.struct("c1", "c2"), F.struct("c1", "c2")).alias("one")
+        same = materialize(rows.groupBy(*keys, "r1", "r2").agg(F.sum("n").alias("n"), best), "regions")
+        sizes = same.groupBy(*keys).agg(F.sum("n").alias("all"), F.count("*").alias("m")).where("all > 1")
+        again = same.where("n > 1").select(*keys, "r1", "r2")
+        found.append(rows.where(F.col("l") + F.col("r") >= LENGTH).join(again, [*keys, "r1", "r2"], "left_semi").select("gram", "c1", "c2", "l", "r"))
+        if width == 1:
+            break
+        open_ = materialize(same.select(*keys, F.col("n").alias("rn"), "one").join(sizes.where("m > 1").select(*keys, "m"), keys).select(*keys, "m", F.col("rn").alias("n"), "one.c1", "one.c2"), "open")
+        if open_.isEmpty():
+            break
+        text = held.groupBy("gram", "c1", "c2").agg(F.min("left").alias("left"), F.min("right").alias("right"))
+        full = materialize(open_.join(text, ["gram", "c1", "c2"]), "class-texts")
+        name = F.xxhash64(*keys).alias("class")
+        parts = max(1, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * 4
+        small = full.where(F.col("m") <= GROUP).select(name, "c1", "c2", "n", "left", "right", "gram")
+        done = small.repartition(parts, "class").sortWithinPartitions("class").mapInArrow(_settle, "class long, c1 long, c2 long, l long, r long")
+        found.append(done.join(small.select("class", "c1", "c2", "gram"), ["class", "c1", "c2"]).select("gram", "c1", "c2", "l", "r"))
+        todo = full.where(F.col("m") > GROUP).select("gram", "c1", "c2", "n", "left", "right", F.col("a").cast("int").alias("first"), F.least(F.lit(LEFT + 1), F.col("a") + width).cast("int").alias("last"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.groupBy("gram", "c1", "c2").agg(F.max("l").alias("l"), F.max("r").alias("r"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -230,23 +279,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     places = at.join(twice, "gram", "left_semi").groupBy("row").agg(F.collect_list(F.struct("pos", "gram")).alias("x"))
     # A row lists its own anchors: as many as its text is long.
     found = docs.join(places, "row").select("row", F.col("text").cast("binary").alias("text"), F.col("x.gram").alias("grams"), F.col("x.pos").alias("places"))
-    ctx = materialize(contexts(found), "contexts")
+    ctx = materialize(contexts(found), "contexts", "zstd")
     discard(at)
     held = ctx.where("n is not null").select("gram", "c1", "c2", "n", "left", "right")
     sizes = ctx.where("n is not null").groupBy("gram").agg(F.count("*").alias("m"))
     big = materialize(sizes.where(F.col("m") > GROUP).select("gram"), "big")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 4
-    hot = not big.isEmpty()
-    small = held.join(big, "gram", "left_anti") if hot else held
+    hot = [r["gram"] for r in big.limit(MOST_LISTED + 1).collect()]
+    if len(hot) > MOST_LISTED:  # too many to name in an expression
+        small, large = held.join(big, "gram", "left_anti"), held.join(big, "gram", "left_semi")
+    else:
+        small, large = held.where(~F.col("gram").isin(hot)), held.where(F.col("gram").isin(hot))
     done = small.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_settle, "gram long, c1 long, c2 long, l long, r long")
     if hot:
-        # Equal contexts once, with their number; then each window of each.
-        one = held.join(big, "gram", "left_semi").groupBy("gram", "c1", "c2").agg(F.sum("n").alias("n"), F.min("left").alias("left"), F.min("right").alias("right"))
-        win = one.mapInArrow(_windows, "gram long, c1 long, c2 long, n long, s long, w1 long, w2 long")
-        keys = ["gram", "s", "w1", "w2"]  # equal windows have the anchor at one place
-        more = win.groupBy(*keys).agg(F.sum("n").alias("all")).where("all > 1").select(*keys)
-        wide = win.join(more, keys, "left_semi").groupBy("gram", "c1", "c2").agg(F.max("s").alias("l"), (LENGTH - F.min("s")).alias("r"))
-        done = done.unionByName(wide)
+        done = done.unionByName(_large(large))
     done = materialize(done, "extents")
     spans = ctx.select("gram", "c1", "c2", "row", "pos").join(done, ["gram", "c1", "c2"])
     out = materialize(spans.groupBy("row").agg(F.collect_set(F.struct((F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b"))).alias("spans")), "spans")
