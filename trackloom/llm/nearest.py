@@ -2,7 +2,10 @@
 
 The halves of all vectors are quantised apart, with K centroids each; a vector's cell is its pair of
 centroids. A query goes through the pairs in order of summed squared distance, with a heap, until
-their cells hold `reach` vectors, and all of these are ranked by their exact distance.
+their cells hold `reach` vectors, and all of these are ranked by their exact distance. reach is a
+share of all vectors, measured on the sample that the centroids are fitted on: where TARGET of true
+neighbours are met. In a sample neighbours are farther away than among all, so that is on the safe
+side.
 """
 
 from __future__ import annotations
@@ -18,15 +21,17 @@ from trackloom.llm.common import materialize
 
 #: Vectors that the centroids are fitted on, at most: those with the smallest hashed vec_id.
 SAMPLE = 20_000
-#: Vectors that a query is compared with, at the least (all, if fewer).
-REACH = 6_000
+#: Vectors that a query is compared with, at the least (all, if fewer), and the share of neighbours sought.
+REACH, TARGET = 1_000, 0.95
+#: Queries of the sample that reach is measured with.
+PROBES = 100
 #: Vectors of a cell, and queries that visit it, that one task compares at a time.
 CELL_BLOCK, QUERY_BLOCK = 4096, 2048
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding as doubles: neither null nor zero, with finite components; of the commonest length."""
-    v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).where(
+    """vec_id, embedding: neither null nor zero, with finite components; of the commonest length."""
+    v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding")).where(
         "vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)"
     )
     width = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
@@ -71,12 +76,34 @@ def traverse(a: np.ndarray, b: np.ndarray, counts: np.ndarray, reach: int) -> li
     return out
 
 
+def measured_share(x: np.ndarray, ca: np.ndarray, cb: np.ndarray, k: int) -> float:
+    """The share of all vectors of the sample that a query must go through to meet TARGET of its k nearest."""
+    half = ca.shape[1]
+    a, b = _squares(x[:, :half], ca), _squares(_second(x, half), cb)
+    cell = a.argmin(1) * len(cb) + b.argmin(1)
+    counts = np.bincount(cell, minlength=len(ca) * len(cb))
+    met = []
+    for q in range(min(PROBES, len(x))):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        near = np.argsort(d, kind="stable")[: min(k, len(x) - 1)]
+        order = np.argsort((a[q][:, None] + b[q][None, :]).ravel(), kind="stable")
+        upto = np.empty(len(order))
+        upto[order] = np.cumsum(counts[order])
+        met.append(upto[cell[near]] / len(x))
+    return float(np.quantile(np.concatenate(met), TARGET)) if met and len(x) > 1 else 1.0
+
+
+def _second(x: np.ndarray, half: int) -> np.ndarray:
+    return x[:, half:] if x.shape[1] > half else np.zeros((len(x), 1))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(column.flatten()).reshape(len(column), -1)
+    return np.asarray(column.flatten()).astype(np.float64).reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, reach: int = REACH, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, reach: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score for rows with vec_id divisible by `every` against all others.
 
     Vectors null, zero, of another length than most, or with null or non-finite components, and
@@ -91,17 +118,21 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, reach: int = REAC
     drawn = _matrix(v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()["embedding"])
     half = max(1, drawn.shape[1] // 2)
     m = int(np.clip(round((total / 20) ** 0.5), 4, 256))
-    ca, cb = kmeans(drawn[:, :half], m), kmeans(drawn[:, half:] if drawn.shape[1] > 1 else drawn[:, :0] if drawn.shape[1] == 0 else np.zeros((len(drawn), 1)), m)
-    second = lambda x: x[:, half:] if x.shape[1] > half else np.zeros((len(x), 1))
+    second = lambda x: _second(x, half)
+    ca, cb = kmeans(drawn[:, :half], m), kmeans(second(drawn), m)
+    if reach is None:
+        reach = max(REACH, int(np.ceil(measured_share(drawn, ca, cb, k) * total)))
     width = len(cb)
 
+    kind = dict(v.dtypes)["embedding"]
+
     def assign(batches):
         for batch in batches:
             x = _matrix(batch.column(1))
             cell = nearest_centroid(x[:, :half], ca).astype(np.int64) * width + nearest_centroid(second(x), cb) if len(x) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["vec_id", "embedding", "cell"])
 
-    placed = materialize(v.mapInArrow(assign, "vec_id long, embedding array<double>, cell long"), "cells")
+    placed = materialize(v.mapInArrow(assign, f"vec_id long, embedding {kind}, cell long"), "cells")
     counts = np.zeros(len(ca) * width, np.int64)
     for r in placed.groupBy("cell").count().collect():  # at most 65,536 cells
         counts[r["cell"]] = r["count"]
@@ -116,7 +147,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, reach: int = REAC
             at = np.repeat(np.arange(len(x)), [len(c) for c in cells])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(np.concatenate(cells).astype(np.int64))], names=["query_id", "q", "cell"])
 
-    asked = materialize(placed.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").mapInArrow(visits, "query_id long, q array<double>, cell long"), "visits")
+    asked = materialize(placed.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").mapInArrow(visits, f"query_id long, q {kind}, cell long"), "visits")
     # A row for each cell: at most 65,536, so it may be broadcast.
     load = F.broadcast(asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("qs")))
     held = F.broadcast(spark.createDataFrame([(int(c), int(-(-counts[c] // CELL_BLOCK))) for c in np.flatnonzero(counts)], "cell long, es int"))
