@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.word_pieces import Memo, byte_chars, latin, cuts, parts, pre_tokens, spec, words_in
 
-ARC_ENTRIES = 1_000_000
+ARC_ENTRIES = 250_000
 END = "</w>"
 
 
@@ -139,7 +139,7 @@ class Codec:
         self.special = spec(path)[2]
         self.path = path
         self.chars = byte_chars()
-        self.words = Memo(self._symbols)
+        self.words = Memo(self._symbols, 60_000)
         self.memo = Memo(self._cut)
 
     def _symbols(self, symbols: str) -> tuple[str, str]:
