@@ -25,6 +25,8 @@ BLOCK = 1 << 15
 #: Ids after which a shard is closed; a document is never split.
 SHARD_IDS = 1 << 22
 END_ID = 2
+#: Cuts in each generation of the memo: about 100 MB in all.
+MEMO = 500_000
 _HEADER = struct.Struct("<8sIIQQQQ")  # magic, bits, block, n_docs, n_ids, n_blocks, ids before it in its partition
 _MAGIC = b"TLTOKEN1"
 NO_ID = np.iinfo(np.int64).min
@@ -130,7 +132,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.lib = library(path)
-        self.memo = Memo(self._one)
+        self.memo = Memo(self._one, MEMO)
 
     def _one(self, cut: str) -> bytes:
         return np.array(self.lib.encode(cut, add_special_tokens=False).ids, "<u4").tobytes()
