@@ -26,6 +26,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("trajectory_segments")
-def _stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("user_id").distinct()
+from trackloom.plans import catalogue  # noqa: E402, F401  registers the queries
