@@ -20,7 +20,7 @@ def with_steps(fixes: DataFrame) -> DataFrame:
     """dt_s, step_m and speed_mps since the animal's fix before (null at its first)."""
     w = Window.partitionBy(*ANIMAL).orderBy("timestamp")
     lag = lambda c: F.lag(c).over(w)
-    out = fixes.withColumn("dt_s", geo.epoch_s(F.col("timestamp")) - geo.epoch_s(lag("timestamp")))
+    out = fixes.withColumn("dt_s", (F.unix_micros("timestamp") - F.unix_micros(lag("timestamp"))) / 1e6)
     out = out.withColumn("step_m", geo.step_metres(lag("lat"), lag("lon"), F.col("lat"), F.col("lon")))
     return out.withColumn("speed_mps", F.try_divide("step_m", "dt_s"))
 
