@@ -309,20 +309,15 @@ def _blocks(inside: DataFrame) -> DataFrame:
     return tasks.groupBy("class", "s1", "p1", "s2", "p2").applyInArrow(pair, "a long, b long")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a row number that a rerun of the same scan gives again."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), "*")
-
-
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without documents whose class holds a smaller doc_id (or the same in an earlier row)."""
-    rows = materialize(numbered(docs), "rows")
-    found = jaccard_classes(rows)
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("__row"), "*"), "rows")
+    found = jaccard_classes(rows.select(F.col("__row").alias("row"), "doc_id", "text"))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))
     # Classes are named by their smallest doc_id; rows without shingles stand alone, as do classes of null ids.
     own = F.when((F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.concat(F.lit("r"), F.col("row"))).otherwise(F.concat(F.lit("c"), F.col("component_id")))
-    keep = materialize(found.groupBy(own).agg(first.alias("f")).select(F.col("f.row").alias("row")), "kept")
-    return rows.join(keep, "row", "left_semi").select(*docs.columns)
+    keep = materialize(found.groupBy(own).agg(first.alias("f")).select(F.col("f.row").alias("__row")), "kept")
+    return rows.join(keep, "__row", "left_semi").select(*docs.columns)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from functools import lru_cache
 import regex
 
 #: Entries of each of the two generations of a worker's memo.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 150_000
 #: A cut longer than this isn't kept in the memo.
 MEMO_CHARS = 64
 SPECIAL = regex.compile(r"<\|startoftext\|>|<\|endoftext\|>")
