@@ -21,6 +21,7 @@ MIN_RUN = 3
 def named(places: DataFrame, *key: str) -> DataFrame:
     """row, pos, name for places whose key occurs more than once; name: the first such place."""
     first = places.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("name")).where("n > 1").drop("n")
+    first = materialize(first, "first")  # so that both sides of the join are plain exchanges and Spark can split a hot key
     return places.join(first, [*key]).select("row", "pos", "name")
 
 
