@@ -18,6 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
+        low = materialize(low, "low")  # so that both sides of the join are plain exchanges and Spark can split a hub
         # Large star: larger neighbours of v point at v's smallest.
         large = both.where("u > v").join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
         # Small star: v and its smaller neighbours point at the smallest of them.
@@ -26,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         nxt = small.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u"))).distinct()
         nxt = materialize(nxt, "star")
         moved = nxt.exceptAll(now).isEmpty() and now.exceptAll(nxt).isEmpty()
-        discard(now)
+        discard(now, low)
         now = nxt
         if moved:
             break
