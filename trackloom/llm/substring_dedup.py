@@ -275,12 +275,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """row, starts, ends: byte ranges of documents (row, text) covered by repeats of LENGTH bytes; ranges may overlap."""
     spark = docs.sparkSession
     at = materialize(anchor_table(docs), "anchors")
-    twice = at.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    # Written out, so that both sides of the join are plain exchanges and Spark can split a hot gram.
+    twice = materialize(at.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "grams")
     places = at.join(twice, "gram", "left_semi").groupBy("row").agg(F.collect_list(F.struct("pos", "gram")).alias("x"))
     # A row lists its own anchors: as many as its text is long.
     found = docs.join(places, "row").select("row", F.col("text").cast("binary").alias("text"), F.col("x.gram").alias("grams"), F.col("x.pos").alias("places"))
     ctx = materialize(contexts(found), "contexts", "zstd")
-    discard(at)
+    discard(at, twice)
     held = ctx.where("n is not null").select("gram", "c1", "c2", "n", "left", "right")
     sizes = ctx.where("n is not null").groupBy("gram").agg(F.count("*").alias("m"))
     big = materialize(sizes.where(F.col("m") > GROUP).select("gram"), "big")
