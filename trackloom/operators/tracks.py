@@ -52,7 +52,7 @@ def sliding_windows(segmented: DataFrame, length: int, horizon: int, stride: int
 
 def displacements(windows: DataFrame, length: int) -> DataFrame:
     """A row for each step of a window: pos, dx, dy in the frame of the last observed fix; the first step is zero."""
-    out = windows.withColumn("o", F.col("window")[length - 1]).select(*ANIMAL, "seg", "start", "o", F.posexplode("window").alias("pos", "p"))
+    out = windows.withColumn("o", F.col("window")[length - 1]).select(*ANIMAL, "seg", "start", "t_target", "o", F.posexplode("window").alias("pos", "p"))
     x, y = geo.local_xy(F.col("p.lat"), F.col("p.lon"), F.col("o.lat"), F.col("o.lon"))
     w = Window.partitionBy(*ANIMAL, "seg", "start").orderBy("pos")
     out = out.withColumn("x", x).withColumn("y", y)
@@ -123,3 +123,15 @@ def home_range(fixes: DataFrame, days: int, near_m: float) -> DataFrame:
     cx, cy = geo.local_xy(F.col("mlat"), F.col("mlon"), F.col("lat"), F.col("lon"))
     dist = F.hypot(cx, cy)
     return x.select("event_id", "n", cx.alias("centre_dx"), cy.alias("centre_dy"), (dist <= near_m).alias("near"), F.least(F.lit(1.0), (F.col("t") - F.col("t0")) / (days * 86400.0)).alias("history"))
+
+
+def engineered(steps: DataFrame, length: int) -> DataFrame:
+    """Inputs of displacements(): step length and turn, both of the row before (the first repeats itself), and the cyclic hour and day of year of its first target."""
+    w = Window.partitionBy(*ANIMAL, "seg", "start").orderBy("pos")
+    before = lambda c: F.coalesce(F.lag(c).over(w), F.col(c))
+    x = steps.where(F.col("pos") < length).withColumn("len", F.hypot("dx", "dy")).withColumn("heading", F.atan2("dy", "dx"))
+    x = x.withColumn("bend", F.coalesce(geo.wrap_angle(F.col("heading") - F.lag("heading").over(w)), F.lit(0.0)))
+    x = x.withColumn("step_length", before("len")).withColumn("turn", before("bend")).drop("len", "heading", "bend")
+    hour, day = 2 * F.pi() * (F.hour("t_target") + F.minute("t_target") / 60) / 24, 2 * F.pi() * F.dayofyear("t_target") / 365.25
+    return x.withColumns({"hour_sin": F.sin(hour), "hour_cos": F.cos(hour), "day_sin": F.sin(day), "day_cos": F.cos(day)})
+
