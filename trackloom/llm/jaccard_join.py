@@ -26,7 +26,7 @@ from trackloom.llm.components import components
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT, WIDTH = 80, 5
 #: Shingles of a class that one task joins; a larger class is cut into blocks of half of this.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
 
 
 def shingle_sets(docs: DataFrame, row: str = "row") -> DataFrame:

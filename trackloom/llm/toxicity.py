@@ -271,9 +271,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = spec.value
         for batch in batches:
-            parts = [m.score(raw, offs) for _, _, raw, offs in text_chunks(batch.column(k))]
-            score = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "__toxicity"])
+            for i, j, raw, offs in text_chunks(batch.column(k)):  # small batches back, so no side holds many texts
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(m.score(raw, offs))], names=[*batch.schema.names, "__toxicity"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__toxicity", DoubleType())]))
 
