@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -341,3 +342,14 @@ def test_pipeline(spark):
         docs = out.persist()
     final = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert final.count() == docs.count() and corpus_pipeline.run(spark, sf).count() == final.count()
+
+
+def test_toxicity_features_dont_depend_on_neighbours():
+    from trackloom.llm import toxicity
+    from trackloom.llm.common import text_chunks, word_hashes
+
+    texts = ["ends in a digit 7", "x starts with a letter", "!", "!! you id1ot", "", None, "a", "1", "b. You IDIOT-s", "5"]
+    raw = np.frombuffer(b"idiot", np.uint8)
+    lexicon = word_hashes(raw, np.array([0]), np.array([5])), np.array([1.5])
+    of = lambda limit: np.concatenate([toxicity.features(r, o, lexicon) for _, _, r, o in text_chunks(pa.array(texts), limit)])
+    assert np.array_equal(of(1), of(1 << 20)) and np.array_equal(of(1), of(20))

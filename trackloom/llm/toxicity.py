@@ -117,6 +117,9 @@ def features(raw: np.ndarray, offs: np.ndarray, lexicon: tuple[np.ndarray, np.nd
     mid = np.zeros(len(raw), bool)  # a digit or sign between letters
     if len(raw) > 2:
         mid[1:-1] = (punct | digit)[1:-1] & _LETTER[raw][:-2] & _LETTER[raw][2:]
+    # Neither looks over the edge of its document.
+    run[offs[:-1][size > 0]] = False
+    mid[offs[:-1][size > 0]] = mid[offs[1:][size > 0] - 1] = False
     nz, nb = np.maximum(nw, 1), np.maximum(size, 1)
     pos = per(np.where(w > 0, w, 0))
     return np.stack([
