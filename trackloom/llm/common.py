@@ -35,8 +35,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """df written to the shared folder as Parquet and read again: cuts lineage and outlives executors."""
+    """df written to the shared folder as Parquet and read again: cuts lineage and outlives executors.
+
+    From then on the session deletes shuffle files when the query that made them ends, as nothing
+    goes back to them (a query that does makes them anew).
+    """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = scratch(spark, name)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
