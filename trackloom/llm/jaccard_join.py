@@ -9,15 +9,16 @@
 4. In a class, shingles are ordered anew by how many sets hold them. Documents with one prefix and
    one size form a group; an inverted index over the groups' prefixes gives group pairs, which size
    and position filters thin out; members of what is left are verified on whole sets. A pair that
-   earlier links already join isn't verified again. Large classes are cut into blocks by size, and
-   pairs of blocks are joined on their own.
+   earlier links already join isn't verified again. Large classes, which passages of many documents
+   hold together, are first gathered anew by prefixes in the order of how many sets hold a shingle.
+   What is still large is cut into blocks by size, and pairs of blocks are joined on their own.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import discard, materialize, mix, shingles_of, text_chunks, word_hashes, words_of
@@ -25,7 +26,7 @@ from trackloom.llm.components import components
 
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT, WIDTH = 80, 5
-#: Shingles of a class that one task joins; a larger class is cut into blocks of half of this.
+#: Shingles of a class that one task joins; a larger class is gathered anew, then cut into blocks of half of this.
 BLOCK_SHINGLES = 1_000_000
 
 
@@ -226,8 +227,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     same = materialize(sized.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("row").alias("rep"), F.count("*").alias("rows")), "sets")
     # 2. How many shingles of its extended prefix does each document share?
     held = posts.where("shingle is not null").select("shingle", "row", "shared")
-    per = held.groupBy("shingle").agg(F.count("*").alias("c"), F.min("row").alias("first"))
-    twice = per.where("c > 1").select("shingle")
+    # Written, so that the shuffles of the count are gone before those of the join.
+    twice = materialize(held.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle"), "twice")
     more = held.join(twice, "shingle", "left_semi").where("shared = 0").groupBy("row").agg(F.count("*").alias("more"))
     own = held.where("shared = 1").groupBy("row").agg(F.count("*").alias("own"))
     count = F.col("shared") + F.coalesce("more", F.lit(0)) + F.coalesce("own", F.lit(0))
@@ -235,16 +236,13 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     least = F.greatest(F.lit(1), F.floor(F.col("n") * PERCENT / 1000))
     passed = sized.where("n > 0").join(more, "row", "left").join(own, "row", "left").where(count >= least)
     left = materialize(passed.join(same, ["n", "h1", "h2"]).where("row = rep").select("row", "n"), "left")
-    discard(posts)
+    discard(posts, twice)
     # 3. Sets of the documents left, and their candidate classes.
     sets = materialize(shingle_sets(rows.join(left.select("row"), "row", "left_semi")), "shingles")
     prefix = sets.select("row", F.explode(F.expr(f"slice(shingles, 1, cast(n - ceil(n * {PERCENT} / 100) + 1 as int))")).alias("shingle"))
-    edges = prefix.groupBy("shingle").agg(F.min("row").alias("a"), F.max("row").alias("top")).where("a < top").select("shingle", "a")
-    edges = materialize(prefix.join(edges, "shingle").where("row > a").select("a", F.col("row").alias("b")).distinct(), "edges")
-    classes = components(edges)
-    discard(edges)
+    classes = _gathered(prefix)
     # 4. The join inside each class.
-    links = _verified(sets.select("row", "n", "shingles"), classes)
+    links = _verified(sets, classes)
     found = components(links)
     # 5. Back to all rows.
     label = same.join(found.select(F.col("node").alias("rep"), "label"), "rep", "left").select("n", "h1", "h2", F.coalesce("label", "rep").alias("label"))
@@ -255,13 +253,47 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     return full.join(best, "label").select("row", "doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def _verified(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) that join all similar sets of each class."""
-    spark = sets.sparkSession
+def _gathered(prefix: DataFrame) -> DataFrame:
+    """Components (node, label) of rows that share a shingle. prefix: row, shingle."""
+    first = prefix.groupBy("shingle").agg(F.min("row").alias("a"), F.max("row").alias("top")).where("a < top").select("shingle", "a")
+    edges = materialize(prefix.join(first, "shingle").where("row > a").select("a", F.col("row").alias("b")).distinct(), "edges")
+    found = components(edges)
+    discard(edges)
+    return found
+
+
+def _rare_prefixes(sets: DataFrame) -> DataFrame:
+    """row, shingle: plain prefixes in the order of how many of the sets hold a shingle; those of one set only are left out."""
+    every = sets.select("row", "n", F.explode("shingles").alias("shingle"))
+    held = materialize(every.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "held")
+    shared = materialize(every.join(held, "shingle"), "shared")
+    discard(held)
+    # A set's shingles that no other holds come first in its order, so they take the first places of its prefix.
+    few = shared.groupBy("row").agg(F.count("*").alias("common"), F.first("n").alias("n")).select("row", F.expr(f"cast(n - ceil(n * {PERCENT} / 100) + 1 - (n - common) as long)").alias("places")).where("places > 0")
+    place = F.row_number().over(Window.partitionBy("row").orderBy("df", "shingle"))
+    out = materialize(shared.join(few, "row").withColumn("place", place).where("place <= places").select("row", "shingle"), "prefixes")
+    discard(shared)
+    return out
+
+
+def _of_classes(sets: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sets with their class, and the classes over BLOCK_SHINGLES."""
     inside = materialize(sets.join(classes, sets["row"] == classes["node"]).select(F.col("label").alias("class"), "row", "n", "shingles"), "classes")
-    total = inside.groupBy("class").agg(F.sum("n").alias("total"))
-    big = materialize(total.where(F.col("total") > BLOCK_SHINGLES), "big")
-    small = inside.join(big.select("class"), "class", "left_anti")
+    big = inside.groupBy("class").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_SHINGLES)
+    return inside, materialize(big, "big")
+
+
+def _verified(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) that join all similar sets of each class. Deletes the table of sets."""
+    inside, big = _of_classes(sets, classes)
+    discard(sets)
+    small, large = inside.join(big.select("class"), "class", "left_anti"), None
+    if not big.isEmpty():
+        large = inside.join(big.select("class"), "class", "left_semi").select("row", "n", "shingles")
+        prefixes = _rare_prefixes(large)
+        again, big = _of_classes(large, _gathered(prefixes))
+        discard(prefixes)
+        small, large = small.unionByName(again.join(big.select("class"), "class", "left_anti")), again
 
     def whole(keys, table):
         rows = np.asarray(table["row"].combine_chunks())
@@ -273,9 +305,11 @@ def _verified(sets: DataFrame, classes: DataFrame) -> DataFrame:
         return pa.table({"a": b[keep], "b": a[keep]})
 
     links = small.groupBy("class").applyInArrow(whole, "a long, b long")
-    if not big.isEmpty():
-        links = links.unionByName(_blocks(inside.join(big, "class")))
-    return materialize(links, "links")
+    links = materialize(links, "links")
+    if large is not None and not big.isEmpty():
+        links = links.unionByName(materialize(_blocks(large.join(big, "class")), "links"))
+    discard(inside, *([large] if large is not None else []))
+    return links
 
 
 def _blocks(inside: DataFrame) -> DataFrame:
