@@ -124,11 +124,17 @@ def words_of(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of byte spans."""
-    p, q = powers(len(raw) + 1)
-    acc = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(((_LOWER[raw] if lower else raw).astype(np.uint64) + np.uint64(1)) * p[:-1], out=acc[1:])
-    return mix((acc[ends] - acc[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of byte spans, which ascend and don't overlap; a piece of the bytes is worked on at a time."""
+    out, a = np.empty(len(starts), np.uint64), 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + CHUNK_BYTES, "right")))
+        piece, first, last = raw[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a]
+        p, q = powers(len(piece) + 1)
+        acc = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(((_LOWER[piece] if lower else piece).astype(np.uint64) + np.uint64(1)) * p[:-1], out=acc[1:])
+        out[a:b] = mix((acc[last] - acc[first]) * q[first] + (last - first).astype(np.uint64))
+        a = b
+    return out
 
 
 _SALTS = mix(np.arange(1, 9, dtype=np.uint64))

@@ -77,8 +77,9 @@ def features(raw: np.ndarray, offs: np.ndarray, lexicon: tuple[np.ndarray, np.nd
     if not len(raw):
         return np.zeros((n, N_FEATURES))
     words, weights = lexicon
-    at = np.concatenate([[0], np.arange(len(raw)) + 1])
-    count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offs]).astype(float)
+    # A text is under 2 GB, so 32 bits count its bytes.
+    upto = lambda mask: np.concatenate([np.zeros(1, np.int32), np.cumsum(mask, dtype=np.int32)])
+    count = lambda mask: np.diff(upto(mask)[offs]).astype(float)
     h, d, s, e = letter_words(raw, offs)
     nw = np.bincount(d, minlength=n).astype(float)
     per = lambda x, by=None: np.bincount(d, weights=x, minlength=n) if len(d) else np.zeros(n)
@@ -101,12 +102,12 @@ def features(raw: np.ndarray, offs: np.ndarray, lexicon: tuple[np.ndarray, np.nd
     if bad.any():
         pair = np.unique(np.stack([d[bad].astype(np.uint64), h[bad]], 1), axis=0)
         distinct = np.bincount(pair[:, 0].astype(np.int64), minlength=n).astype(float)
-    up = np.concatenate([[0], np.cumsum(_UPPER[raw])])
+    up = upto(_UPPER[raw])
     caps = (up[e] - up[s] == e - s) & (e - s > 2)
     # Words with look-alike characters read as letters and other characters inside them left out.
     kept = _KEPT[raw]
     plain = _PLAIN[raw][kept]
-    koffs = np.concatenate([[0], np.cumsum(kept)])[offs]
+    koffs = upto(kept)[offs].astype(np.int64)
     ks, ke, kd = words_of(plain, koffs)
     kh = word_hashes(plain, ks, ke)
     read = _in(kh, _SEED) | _in(kh, words[weights > 0])
