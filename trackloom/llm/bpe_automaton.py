@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.llm.common import settle
 from trackloom.llm.word_pieces import Memo, byte_chars, latin, cuts, parts, pre_tokens, spec, words_in
 
 ARC_ENTRIES = 250_000
@@ -196,6 +197,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, texts: bool = Fal
     A null text is an empty one: no ids, and an empty decoded text. doc_id may be null or repeat;
     extra columns are ignored; an empty table gives no rows.
     """
+    settle(docs.sparkSession)
     path = path or default_path()
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * texts
 

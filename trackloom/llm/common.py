@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the numpy kernels hold at a time (a longer document is held alone).
 CHUNK_BYTES = 1 << 18
+#: Rows that go to a Python worker at a time.
+BATCH_ROWS = 1000
 
 
 # ---- shared folder ---------------------------------------------------------
@@ -34,14 +36,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """df written to the shared folder as Parquet and read again: cuts lineage and outlives executors.
+def settle(spark: SparkSession) -> None:
+    """Session settings of the corpus operators, which stay on.
 
-    From then on the session deletes shuffle files when the query that made them ends, as nothing
-    goes back to them (a query that does makes them anew).
+    Batches of BATCH_ROWS bound what the JVM and its Python workers hold. Shuffle files go when the
+    query that made them ends: nothing goes back to them, as tables in the shared folder cut the
+    lineage (a query that does makes them anew).
     """
-    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """df written to the shared folder as Parquet and read again: cuts lineage and outlives executors."""
+    spark = df.sparkSession
+    settle(spark)
     path = scratch(spark, name)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

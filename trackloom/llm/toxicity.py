@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import mix, powers, text_chunks, word_hashes, words_of
+from trackloom.llm.common import mix, settle, text_chunks, word_hashes, words_of
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hashed doc_id.
 SAMPLE_ROWS = 8_000
@@ -269,6 +269,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """docs with a last column __toxicity, 0 to 1. Empty and null texts score too; long ones are read whole."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    settle(docs.sparkSession)
     k = docs.columns.index("text")
     spec = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers per tree, and 200 words
 
