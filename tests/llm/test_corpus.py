@@ -201,6 +201,24 @@ def test_substring_dedup(spark, docs, none, group, monkeypatch):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("group", [2, 5, 10])
+def test_substring_dedup_of_a_passage_whose_neighbours_agree_for_a_few_bytes(spark, group, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "GROUP", group)
+    r, passage = np.random.default_rng(5), prose(80, 99)
+    few = lambda: "".join(r.choice(list("ab"), size=4))
+    texts = [prose(90, 400 + k) + few() + passage + few() + prose(90, 500 + k) for k in range(40)]
+    x = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "row long, doc_id long, text string")
+    got = by_id(substring_dedup.substring_dedup(x, texts=True))
+    raw = [t.encode() for t in texts]
+    seen = Counter(b[i : i + 400] for b in raw for i in range(len(b) - 399))
+    for k, b in enumerate(raw):
+        cover = np.zeros(len(b), bool)
+        for i in range(len(b) - 399):
+            if seen[b[i : i + 400]] > 1:
+                cover[i : i + 400] = True
+        assert (got[k]["n_removed"], bytes(got[k]["kept"])) == (int(cover.sum()), bytes(x for x, c in zip(b, cover, strict=True) if not c))
+
+
 # ---- mixing ----------------------------------------------------------------
 
 

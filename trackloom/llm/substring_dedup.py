@@ -261,7 +261,8 @@ def _large(held: DataFrame) -> DataFrame:
         full = materialize(open_.join(text, ["gram", "c1", "c2"]), "class-texts")
         name = F.xxhash64(*keys).alias("class")
         parts = max(1, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * 4
-        small = full.where(F.col("m") <= GROUP).select(name, "c1", "c2", "n", "left", "right", "gram")
+        # A region that repeats is in `found` already; n > 1 would say that its context repeats as a whole.
+        small = full.where(F.col("m") <= GROUP).select(name, "c1", "c2", F.lit(1).cast("long").alias("n"), "left", "right", "gram")
         done = small.repartition(parts, "class").sortWithinPartitions("class").mapInArrow(_settle, "class long, c1 long, c2 long, l long, r long")
         found.append(done.join(small.select("class", "c1", "c2", "gram"), ["class", "c1", "c2"]).select("gram", "c1", "c2", "l", "r"))
         todo = full.where(F.col("m") > GROUP).select("gram", "c1", "c2", "n", "left", "right", F.col("a").cast("int").alias("first"), F.least(F.lit(LEFT + 1), F.col("a") + width).cast("int").alias("last"))
