@@ -1,6 +1,7 @@
 """The corpus operators against brute force, and on nulls, empty and long texts, ties, repeats and empty tables."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -113,6 +114,15 @@ def test_jaccard_join(spark, docs, none, block, monkeypatch):
     assert [(got[k]["n_shingles"], got[k]["component_id"]) for k in range(len(texts))] == brute_classes(texts)
 
 
+def test_members_of_a_group_link_to_all_that_they_are_similar_to():
+    r, c = [1, 2, 3], list(range(10, 20))  # r: rare, in the prefix of all three
+    b1, b2, a = r + c[1:7] + c[8:9], r + c[2:8] + c[9:], r + c[1:8]
+    others = [c[1:] + list(range(100 * k, 100 * k + 10)) for k in range(1, 5)]
+    for order in itertools.permutations([b1, b2, a]):
+        sets = [np.array(x) for x in (*order, *others)]
+        assert jaccard_join.grouped_prefix_join(sets).tolist() == [0, 0, 0, 3, 4, 5, 6]
+
+
 def test_one_of_each(docs, none):
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns

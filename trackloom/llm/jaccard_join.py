@@ -163,12 +163,18 @@ def grouped_prefix_join(sets: list[np.ndarray], side: np.ndarray | None = None)
     for g, members in enumerate(heads):
         n = int(head_size[g])
         prefix = ranked[members[0]][: plain_prefix(n)]
-        for a in range(1, len(members)):  # inside the group
-            for b in range(a):
-                if links.find(members[a]) != links.find(members[b]) and similar(ranked[members[a]], ranked[members[b]]):
-                    links.join(members[a], members[b])
-                    if side is None:
-                        break
+        parts: list[list[int]] = []  # inside the group: the members so far, by what links join
+        for a in members:
+            apart, linked = [], []
+            for part in parts:
+                (linked if any(similar(ranked[a], ranked[b]) for b in part) else apart).append(part)
+            if linked:
+                linked[0].append(a)
+                links.join(a, linked[0][0])
+            for part in linked[1:]:
+                linked[0].extend(part)
+                links.join(a, part[0])
+            parts = [*apart, linked[0] if linked else [a]]
         seen, hits, spots = [], [], []
         for pos, t in enumerate(prefix.tolist()):
             if once[t]:
