@@ -136,3 +136,10 @@ def test_split_scaler_and_runs(spark, tmp_path):
         (at / "metrics.json").write_text(json.dumps({"ade": ade, "n_windows": 4}, indent=1))
     got = files.read_runs(spark, [str(tmp_path / "unit_1/arm/*/metrics.json")]).collect()
     assert [(r["unit"], r["arm"], r["run"], r["es"]) for r in got] == [("unit_1", "arm", "2002", 2.0)]
+
+
+def test_animal_bootstrap_takes_the_draws_of_the_reference(spark):
+    from trackloom.plans import registry
+
+    got = registry.QUERIES["animal_bootstrap"](spark, "/root/testdata/sf0.001").first()
+    assert got["draws"] == 4000 and got["lo"] < got["hi"]

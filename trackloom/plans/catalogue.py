@@ -308,7 +308,7 @@ def _(spark, d):
 
 @query("animal_bootstrap")
 def _(spark, d):
-    x = studies.bootstrap(table(spark, d, "orders"), "o_custkey", "o_totalprice", 200)
+    x = studies.bootstrap(table(spark, d, "orders"), "o_custkey", "o_totalprice", 4000)
     return x.select(F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"), "draws")
 
 
