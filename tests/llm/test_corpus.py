@@ -75,6 +75,19 @@ def test_index_grows(spark, tmp_path):
     assert (got[3]["kept"], got[3]["keep_id"], got[4]["kept"]) == (False, 2, True)
 
 
+def test_a_batch_given_twice_keeps_nothing(spark, tmp_path):
+    at = f"file://{tmp_path}/index"
+    x = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "c")], "doc_id long, text string")
+    first = exact_dedup.exact_dedup(x, at).collect()
+    again = exact_dedup.exact_dedup(x, at).collect()
+    assert sum(r["kept"] for r in first) == 3 and [r["kept"] for r in again] == [False] * 4
+    assert {(r["doc_id"], r["keep_id"]) for r in again} == {(1, 1), (2, 2), (None, None)}
+    # The files of an index from before batches had names.
+    old = f"file://{tmp_path}/old"
+    spark.read.parquet(at).drop("batch").repartition(64, "digest").write.bucketBy(64, "digest").sortBy("digest").option("path", old).saveAsTable("old_index")
+    assert not any(r["kept"] for r in exact_dedup.exact_dedup(x, old).collect())
+
+
 # ---- Jaccard join ----------------------------------------------------------
 
 

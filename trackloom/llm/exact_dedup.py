@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,28 +24,30 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = spark, path, buckets
-        self.table = "digest_index_" + hashlib.sha256(path.encode()).hexdigest()[:16]
+        self.table = "digest_batches_" + hashlib.sha256(path.encode()).hexdigest()[:16]
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} (digest STRING, keep_id BIGINT, keep_row BIGINT, group_size BIGINT) "
+            f"CREATE TABLE IF NOT EXISTS {self.table} (digest STRING, keep_id BIGINT, keep_row BIGINT, group_size BIGINT, batch STRING) "
             f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
     def frame(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def append(self, digests: DataFrame) -> None:
-        """Adds the digests that the index lacks; of equal texts in the batch the largest doc_id stays.
+    def append(self, digests: DataFrame) -> str:
+        """Adds the digests that the index lacks; of equal texts in the batch the largest doc_id stays. Gives the name of the batch.
 
         digests: digest, doc_id, row (a number that tells rows with equal doc_id apart).
         """
+        batch = uuid.uuid4().hex
         best = F.max(F.struct(F.col("doc_id"), F.col("row"))).alias("best")
         groups = digests.groupBy("digest").agg(best, F.count("*").alias("group_size"))
         new = groups.join(self.frame().select("digest").hint("merge"), "digest", "left_anti")
-        new = new.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
+        new = new.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size", F.lit(batch).alias("batch"))
         (
             new.repartition(self.buckets, "digest").sortWithinPartitions("digest")
             .write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
         )
+        return batch
 
 
 def digests_of(docs: DataFrame) -> DataFrame:
@@ -63,7 +66,7 @@ def exact_dedup(docs: DataFrame, index_path: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     rows = materialize(digests_of(docs), "digests")
     index = DigestIndex(spark, index_path or scratch(spark, "digest-index"))
-    index.append(rows)
+    batch = index.append(rows)
     held = index.frame()
     # Fewer than HOT_SHARE digests can be hot, so that side of the join may be broadcast.
     least = rows.count() // HOT_SHARE + 1
@@ -74,7 +77,8 @@ def exact_dedup(docs: DataFrame, index_path: str | None = None) -> DataFrame:
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("keep_row"))).alias("kept"),
+        # Row numbers start anew in each batch, and files of an older index name no batch.
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("keep_row")) & F.col("batch").eqNullSafe(F.lit(batch))).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
 
