@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,23 +10,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy kernels hold at a time (a longer document is held alone).
 CHUNK_BYTES = 1 << 18
 #: Rows that go to a Python worker at a time.
 BATCH_ROWS = 1000
+#: Rows of a few numbers that a broadcast may hold.
+BROADCAST_ROWS = 2_000_000
 
 
 # ---- shared folder ---------------------------------------------------------
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder is set only where that is unset."""
+    """spark.checkpoint.dir. Where that is unset a local master gets a temporary folder; a cluster raises, as its executors share none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jsc.isDefined():
             return jsc.get()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="trackloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -68,6 +74,16 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def numbered(docs: DataFrame, name: str = "rows", row: str = "row") -> DataFrame:
+    """docs with a first column that tells its rows apart, written so that all later reads see the same numbers."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias(row), "*"), name)
+
+
+def checked(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The hint for the smaller side of a join: broadcast if it has `rows` rows at most, which is counted; else sort-merge."""
+    return F.broadcast(small) if small.count() <= rows else small.hint("merge")
+
+
 # ---- text as bytes ---------------------------------------------------------
 
 _WS = np.zeros(256, bool)

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import materialize, mix, text_chunks, word_hashes, words_of
+from trackloom.llm.common import checked, materialize, mix, text_chunks, word_hashes, words_of
 
 BUCKETS = 1 << 14
 
@@ -28,7 +28,7 @@ def gram_buckets(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def bucket_counts(docs: DataFrame) -> DataFrame:
-    """bucket, raw, target: counts over all documents (row, text, good); a task sends a row for each bucket."""
+    """bucket, raw, target: counts over all documents (doc_id, text, good); a task sends a row for each bucket."""
 
     def run(batches):
         all_, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -41,7 +41,7 @@ def bucket_counts(docs: DataFrame) -> DataFrame:
         on = np.flatnonzero(all_)
         yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(all_[on]), pa.array(good[on])], names=["bucket", "raw", "target"])
 
-    return docs.select("row", "text", "good").mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return docs.select("doc_id", "text", "good").mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def kth_largest(keys: DataFrame, k: int) -> int:
@@ -58,19 +58,33 @@ def kth_largest(keys: DataFrame, k: int) -> int:
     return prefix
 
 
+def among_largest(keys: DataFrame, k: int, *order: str) -> Column:
+    """Is a row among the k largest by the long columns `order`, the later ones for ties? No rows are gathered."""
+    if k <= 0 or not order:
+        return F.lit(k > 0)
+    first = F.col(order[0])
+    edge = kth_largest(keys.select(first.alias("o")), k)
+    above, at = keys.where(first >= edge).agg(F.count_if(first > edge), F.count_if(first == edge)).first()
+    if above + at == k:
+        return first >= edge
+    return (first > edge) | ((first == edge) & among_largest(keys.where(first == edge), k - above, *order[1:]))
+
+
 def resample(docs: DataFrame, good: DataFrame, share: float | None = None, seed: int = 1) -> DataFrame:
     """One row per input row: doc_id, log_weight, noisy (weight and noise), kept.
 
     docs: doc_id, text. good: doc_id, good (boolean; rows that repeat a doc_id count as good if any
     is). share of rows are kept, by default the share of good rows among the labelled. Null and empty
-    texts weigh 0. Noise comes from a hash of doc_id, so reruns agree; equal keys are told apart by
-    doc_id and then text.
+    texts weigh 0. Noise comes from a hash of doc_id, of doc_id and text where doc_id is null, so
+    reruns agree. Of equal keys those with the largest hash of doc_id and text are kept; rows equal in
+    both are interchangeable. Texts don't move, unless there are over BROADCAST_ROWS good doc_ids.
     """
     spark = docs.sparkSession
-    marks = good.where("good is not null and doc_id is not null").groupBy("doc_id").agg(F.max("good").alias("good"))
-    rows = docs.select("doc_id", "text").join(marks, "doc_id", "left").select(F.col("doc_id").alias("row"), "text", "good")
+    marks = materialize(good.where("good is not null and doc_id is not null").groupBy("doc_id").agg(F.max("good").alias("good")), "marks")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    ids = marks.where("good").select("doc_id", F.lit(True).alias("good"))
     raw, target = np.full(BUCKETS, 1.0), np.full(BUCKETS, 1.0)
-    for r in bucket_counts(rows).collect():  # BUCKETS rows at most
+    for r in bucket_counts(rows.join(checked(ids), "doc_id", "left")).collect():  # BUCKETS rows at most
         raw[r["bucket"]] += r["raw"]
         target[r["bucket"]] += r["target"]
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
@@ -85,21 +99,14 @@ def resample(docs: DataFrame, good: DataFrame, share: float | None = None, seed:
                 w = np.bincount(d, ratio[b], j - i) if len(d) else np.zeros(j - i)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(w)], names=["doc_id", "tie", "log_weight"])
 
-    weighed = docs.select("doc_id", F.col("text").cast("string"), F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, tie long, log_weight double")
-    unit = (F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    weighed = weighed.withColumn("noisy", F.col("log_weight") - F.log(-F.log(unit)))
+    weighed = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("tie")).mapInArrow(run, "doc_id long, tie long, log_weight double")
+    unit = (F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", "tie"), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    weighed = weighed.withColumn("noisy", F.col("log_weight") - F.log(-F.log(unit))).withColumn("row", F.monotonically_increasing_id())
     # Longs in the order of the keys: millionths, beyond any noise that matters.
     weighed = materialize(weighed.withColumn("o", F.round(F.least(F.greatest(F.col("noisy"), F.lit(-8e12)), F.lit(8e12)) * 1_000_000).cast("long")), "weights")
     n = weighed.count()
-    k = round(share * n)
-    if k >= n or k <= 0:
-        return weighed.select("doc_id", "log_weight", "noisy", F.lit(k > 0).alias("kept"))
-    edge = kth_largest(weighed.select("o"), k)
-    above = weighed.where(F.col("o") > edge).count()
-    # Few rows share the last key.
-    ties = weighed.where(F.col("o") == edge).withColumn("place", F.row_number().over(Window.partitionBy("o").orderBy("doc_id", "tie")))
-    ties = ties.select("doc_id", "log_weight", "noisy", (F.col("place") <= k - above).alias("kept"))
-    return weighed.where(F.col("o") != edge).select("doc_id", "log_weight", "noisy", (F.col("o") > edge).alias("kept")).unionByName(ties)
+    k = min(n, max(0, round(share * n)))
+    return weighed.select("doc_id", "log_weight", "noisy", among_largest(weighed, k, "o", "tie", "row").alias("kept"))
 
 
 def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
