@@ -5,7 +5,8 @@ centroids. A query goes through the pairs in order of summed squared distance, w
 their cells hold `reach` vectors, and all of these are ranked by their exact distance. reach is a
 share of all vectors, measured on the sample that the centroids are fitted on: where TARGET of true
 neighbours are met. In a sample neighbours are farther away than among all, so that is on the safe
-side.
+side. Cells are gathered in blocks, as many as tasks or as hold BLOCK_ROWS vectors; a query goes to a
+block once, with the list of its cells there.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import materialize
+from trackloom.llm.common import materialize, mix
 
 #: Vectors that the centroids are fitted on, at most: those with the smallest hashed vec_id.
 SAMPLE = 20_000
@@ -25,8 +26,10 @@ SAMPLE = 20_000
 REACH, TARGET = 1_000, 0.95
 #: Queries of the sample that reach is measured with.
 PROBES = 100
-#: Vectors of a cell, and queries that visit it, that one task compares at a time.
-CELL_BLOCK, QUERY_BLOCK = 4096, 2048
+#: Vectors of a cell on average, as long as there are at most 256 x 256 cells.
+CELL_ROWS = 5
+#: Vectors of a block of cells, at least and at most, and queries that one task compares with a block.
+BLOCK_ROWS, QUERY_BLOCK = (1024, 32_768), 2048
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -76,6 +79,19 @@ def traverse(a: np.ndarray, b: np.ndarray, counts: np.ndarray, reach: int) -> li
     return out
 
 
+def blocks(counts: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each cell: neighbouring cells share blocks of up to `rows` vectors, a larger cell has some of its own."""
+    first, parts, block, held = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
+    for c in np.flatnonzero(counts):
+        n = int(counts[c])
+        if held and held + n > rows:
+            block, held = block + 1, 0
+        first[c], parts[c], held = block, max(1, -(-n // rows)), held + n
+        if n > rows:
+            block, held = block + int(parts[c]), 0
+    return first, parts
+
+
 def measured_share(x: np.ndarray, ca: np.ndarray, cb: np.ndarray, k: int) -> float:
     """The share of all vectors of the sample that a query must go through to meet TARGET of its k nearest."""
     half = ca.shape[1]
@@ -108,7 +124,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, reach: int | None
 
     Vectors null, zero, of another length than most, or with null or non-finite components, and
     rows with null vec_id, take no part. A query's own row, and rows that repeat its vec_id, aren't
-    its neighbours; a repeated vec_id asks and is found once per distinct vector, nearest first.
+    its neighbours. A repeated vec_id is one entry: the distance of two ids is the least between
+    their vectors, and each id is found once.
     """
     spark = vectors.sparkSession
     v = materialize(usable(vectors).distinct(), "vectors")
@@ -117,13 +134,12 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, reach: int | None
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     drawn = _matrix(v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()["embedding"])
     half = max(1, drawn.shape[1] // 2)
-    m = int(np.clip(round((total / 20) ** 0.5), 4, 256))
+    m = int(np.clip(round((total / CELL_ROWS) ** 0.5), 4, 256))
     second = lambda x: _second(x, half)
     ca, cb = kmeans(drawn[:, :half], m), kmeans(second(drawn), m)
     if reach is None:
         reach = max(REACH, int(np.ceil(measured_share(drawn, ca, cb, k) * total)))
     width = len(cb)
-
     kind = dict(v.dtypes)["embedding"]
 
     def assign(batches):
@@ -136,40 +152,59 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, reach: int | None
     counts = np.zeros(len(ca) * width, np.int64)
     for r in placed.groupBy("cell").count().collect():  # at most 65,536 cells
         counts[r["cell"]] = r["count"]
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    first, parts = blocks(counts, int(np.clip(-(-total // tasks), *BLOCK_ROWS)))
+
+    def deal(batches):
+        for batch in batches:
+            cell, salt = np.asarray(batch.column(2)), mix(np.asarray(batch.column(0)).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(first[cell] + (salt % parts[cell].astype(np.uint64)).astype(np.int64)), *batch.columns], names=["block", "vec_id", "embedding", "cell"])
 
     def visits(batches):
         for batch in batches:
             x = _matrix(batch.column(1))
-            if not len(x):
-                continue
             a, b = _squares(x[:, :half], ca), _squares(second(x), cb)
-            cells = [traverse(a[i], b[i], counts, reach) for i in range(len(x))]
-            at = np.repeat(np.arange(len(x)), [len(c) for c in cells])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(np.concatenate(cells).astype(np.int64))], names=["query_id", "q", "cell"])
-
-    asked = materialize(placed.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").mapInArrow(visits, f"query_id long, q {kind}, cell long"), "visits")
-    # A row for each cell: at most 65,536, so it may be broadcast.
-    load = F.broadcast(asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("qs")))
-    held = F.broadcast(spark.createDataFrame([(int(c), int(-(-counts[c] // CELL_BLOCK))) for c in np.flatnonzero(counts)], "cell long, es int"))
-    left = placed.join(load, "cell").join(held, "cell").withColumn("e", F.pmod(F.xxhash64("vec_id"), F.col("es")).cast("int")).withColumn("w", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
-    right = asked.join(load, "cell").join(held, "cell").withColumn("w", F.pmod(F.xxhash64("query_id"), F.col("qs")).cast("int")).withColumn("e", F.explode(F.sequence(F.lit(0), F.col("es") - 1)))
+            for i in range(len(x)):
+                cells = np.array(traverse(a[i], b[i], counts, reach), np.int64)
+                n = parts[cells]
+                at = np.repeat(first[cells], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                own = np.repeat(cells, n)
+                order = np.lexsort((own, at))
+                at, own = at[order], own[order]
+                edge = np.flatnonzero(np.diff(at, prepend=-1))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(at)).astype(np.int32)), pa.array(own))
+                same = pa.array(np.full(len(edge), i))
+                yield pa.RecordBatch.from_arrays([pa.array(at[edge]), batch.column(0).take(same), batch.column(1).take(same), lists], names=["block", "query_id", "q", "cells"])
+
+    asked = placed.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").mapInArrow(visits, f"block long, query_id long, q {kind}, cells array<long>")
+    asked = materialize(asked, "visits")
+    load = asked.groupBy("block").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("shares"))
+    entries = placed.mapInArrow(deal, f"block long, vec_id long, embedding {kind}, cell long")
+    left = entries.join(load, "block").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    right = asked.join(load, "block").withColumn("share", F.pmod(F.xxhash64("query_id"), F.col("shares")).cast("int"))
 
     def rank(entries, queries):
-        ids, x = np.asarray(entries["vec_id"]), _matrix(entries["embedding"])
         out = [[], [], []]
-        if len(ids) and queries.num_rows:
-            for qid, q in zip(np.asarray(queries["query_id"]), _matrix(queries["q"]), strict=True):
-                d = np.sqrt(((x - q) ** 2).sum(1))
-                ok = ids != qid
-                i, d_ = ids[ok], d[ok]
-                top = np.lexsort((i, d_))[:k]
-                for o, c in zip(out, (np.full(len(top), qid), i[top], d_[top]), strict=True):
+        if entries.num_rows and queries.num_rows:
+            ids, x = np.asarray(entries["vec_id"]), _matrix(entries["embedding"])
+            cells, cell = np.unique(np.asarray(entries["cell"]), return_inverse=True)
+            for qid, q, own in zip(np.asarray(queries["query_id"]), _matrix(queries["q"]), queries["cells"], strict=True):
+                at = np.searchsorted(cells, np.asarray(own.values))
+                on = np.zeros(len(cells) + 1, bool)
+                on[at[cells[np.minimum(at, len(cells) - 1)] == np.asarray(own.values)]] = True
+                near = np.flatnonzero(on[cell] & (ids != qid))
+                d = np.sqrt(((x[near] - q) ** 2).sum(1))
+                i = ids[near]
+                order = np.lexsort((i, d))
+                order = order[np.sort(np.unique(i[order], return_index=True)[1])[:k]]  # a repeated vec_id at its nearest
+                for o, c in zip(out, (np.full(len(order), qid), i[order], d[order]), strict=True):
                     o.append(c)
         cat = lambda c, t: pa.array(np.concatenate(c) if c else np.zeros(0), t)
         return pa.table({"query_id": cat(out[0], pa.int64()), "vec_id": cat(out[1], pa.int64()), "score": cat(out[2], pa.float64())})
 
-    keys = ["cell", "e", "w"]
-    near = left.select(*keys, "vec_id", "embedding").groupBy(*keys).cogroup(right.select(*keys, "query_id", "q").groupBy(*keys)).applyInArrow(rank, "query_id long, vec_id long, score double")
+    keys = ["block", "share"]
+    near = left.select(*keys, "vec_id", "embedding", "cell").groupBy(*keys).cogroup(right.select(*keys, "query_id", "q", "cells").groupBy(*keys)).applyInArrow(rank, "query_id long, vec_id long, score double")
+    near = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
