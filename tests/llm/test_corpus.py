@@ -319,11 +319,25 @@ def test_nearest(spark):
         hits += len(set(want) & {i for _, i, _ in found})
     assert hits >= 0.9 * 10 * len(got)
     assert [i for _, i, _ in got[100]] == list(range(10, 20))
+    twice = x.where("vec_id < 60").unionByName(spark.createDataFrame([(7, [9.0] * 8), (7, list(map(float, v[0])))], x.schema))
+    found = sorted(tuple(q) for q in nearest.nearest(twice, every=100).collect())
+    assert found[0] == (0, 1, 7, 0.0) and len({q[2] for q in found}) == 10
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in nearest.nearest(few).collect()] == [(0, 1, 1, 1.0)]
     assert nearest.nearest(few.where("vec_id > 5")).count() == 0
 
 
+def test_blocks_hold_all_cells():
+    counts = np.random.default_rng(1).integers(0, 9, 50)
+    counts[17] = 95
+    first, parts = nearest.blocks(counts, 20)
+    held = Counter()
+    for c in np.flatnonzero(counts):
+        for p in range(parts[c]):
+            held[first[c] + p] += counts[c] / parts[c]
+    assert parts[17] == 5 and max(held.values()) <= 20 and sorted(held) == list(range(len(held)))
+
+
 def test_traverse_is_in_order():
     r = np.random.default_rng(4)
     a, b = r.random(7), r.random(5)
@@ -335,7 +349,7 @@ def test_traverse_is_in_order():
 # ---- importance resampling -------------------------------------------------
 
 
-def test_importance(spark, docs, none):
+def test_importance(spark, docs, none, monkeypatch):
     rows = [(k, prose(60, k) if k % 5 else "%%% " + " ".join(f"junk{(k * i) % 13}***" for i in range(60))) for k in range(500)]
     x = spark.createDataFrame(rows, "doc_id long, text string")
     good = spark.createDataFrame([(k, bool(k % 5)) for k in range(0, 500, 2)], "doc_id long, good boolean")
@@ -343,33 +357,97 @@ def test_importance(spark, docs, none):
     assert sum(r["kept"] for r in got.values()) == 400 and all(r["kept"] == bool(k % 5) for k, r in got.items())
     half = importance.resample(x, good, share=0.5).where("kept").count()
     assert half == 250
+    monkeypatch.setattr(importance.checked, "__defaults__", (1,))  # the way beyond the broadcast
+    assert {k: r["kept"] for k, r in by_id(importance.resample(x, good)).items()} == {k: r["kept"] for k, r in got.items()}
     assert len(importance.resample(docs, good).collect()) == len(TEXTS) and importance.resample(none, good).count() == 0
 
 
+def test_importance_against_plain_counting(spark):
+    """Weights by dictionaries of words and pairs, put in the same buckets; the k largest by sorting."""
+    texts = [prose(30 + k % 20, k % 60) if k % 4 else prose(25, k) + " \tZap zap, zip" for k in range(300)]
+    x = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(importance.resample(x, spark.createDataFrame([(k, bool(k % 4)) for k in range(0, 300, 3)], "doc_id long, good boolean"), share=0.4))
+
+    def grams(t):
+        w = t.lower().encode().split()
+        h = [int(importance.word_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0]) for x in w]
+        one = [int(importance.mix(np.array([a], np.uint64))[0]) for a in h]
+        two = [int(importance.mix(np.array([(a * 3 + b) % 2**64], np.uint64))[0]) for a, b in itertools.pairwise(h)]
+        return [g % importance.BUCKETS for g in one + two]
+
+    every = [grams(t) for t in texts]
+    raw, target = Counter(g for e in every for g in e), Counter(g for k in range(0, 300, 3) if k % 4 for g in every[k])
+    p = lambda c, g: (c[g] + 1) / (sum(c.values()) + importance.BUCKETS)
+    for k, e in enumerate(every):
+        assert abs(got[k]["log_weight"] - sum(np.log(p(target, g)) - np.log(p(raw, g)) for g in e)) < 1e-8
+    best = sorted(got.values(), key=lambda r: -r["noisy"])
+    assert {r["doc_id"] for r in best[:120]} == {k for k, r in got.items() if r["kept"]}
+    noise = np.array([r["noisy"] - r["log_weight"] for r in best])  # Gumbel: mean 0.577, standard deviation 1.28
+    assert abs(noise.mean() - 0.577) < 0.25 and abs(noise.std() - 1.28) < 0.25
+
+
+def test_largest_of_ties(spark):
+    x = spark.createDataFrame([(5, t, r) for r, t in enumerate([1, 1, 1, 2, 2])] + [(-7, 0, 9), (8, 0, 10)], "o long, tie long, row long")
+    for k in range(9):
+        got = x.select("*", importance.among_largest(x, min(k, 7), "o", "tie", "row").alias("kept")).where("kept").collect()
+        want = sorted(map(tuple, x.collect()), reverse=True)[:k]
+        assert sorted((r["o"], r["tie"], r["row"]) for r in got) == sorted(want)
+
+
 # ---- line dedup ------------------------------------------------------------
 
 
-@pytest.mark.parametrize("run", [1, 2, 3, 5])
-def test_line_dedup(spark, docs, none, run):
-    x = docs.withColumn("row", F.col("doc_id"))
-    got = by_id(line_dedup.line_dedup(x, run))
+def brute_lines(texts, run, least=None):
+    """Per text: number of lines, lines removed, what stays. Places are in the order of the texts."""
     seen, gone = set(), defaultdict(set)
-    for k, t in enumerate(TEXTS):
-        lines = (t or "").split("\n")
-        for i in range(len(lines) - run + 1):
-            key = tuple(lines[i : i + run])
-            if key in seen:
-                gone[k] |= set(range(i, i + run))
-            seen.add(key)
-    for k, t in enumerate(TEXTS):
+    for k, t in enumerate(texts):
         lines = (t or "").split("\n")
-        assert (got[k]["n_lines"], got[k]["n_removed"], got[k]["kept"]) == (len(lines), len(gone[k]), "\n".join(x for i, x in enumerate(lines) if i not in gone[k]))
-    assert line_dedup.line_dedup(none.withColumn("row", F.col("doc_id"))).count() == 0
+        for i in range(len(lines)):
+            for size in {1, 2, run}:
+                key = tuple(lines[i : i + size])
+                if len(key) < size:
+                    continue
+                if key in seen and (size == run or (least is not None and size < run and sum(len(x.encode()) for x in key) >= least)):
+                    gone[k] |= set(range(i, i + size))
+                seen.add(key)
+    return [(len((t or "").split("\n")), len(gone[k]), "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone[k])) for k, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize(("run", "least"), [(1, None), (2, None), (3, None), (5, None), (3, 12)])
+def test_line_dedup(spark, docs, none, run, least):
+    r = np.random.default_rng(run)
+    long = ["\n".join(f"line {x}" for x in r.integers(4, size=n)) for n in (3, 9, 40, 80)]
+    texts = [*TEXTS, *long, "\n".join(long), long[3], "unique\n" + long[2][:150], "lone line of some length", "x\nlone line of some length\ny"]
+    x = spark.createDataFrame([(k, t, 5) for k, t in enumerate(texts)], "doc_id long, text string, rank long").repartition(3)
+    got = by_id(line_dedup.line_dedup(x, run, least))
+    assert [(got[k]["n_lines"], got[k]["n_removed"], got[k]["kept"]) for k in range(len(texts))] == brute_lines(texts, run, least)
+    assert line_dedup.line_dedup(none).count() == 0
+
+
+def line_table(spark, *texts):
+    return spark.createDataFrame([(r, r, k, c, len(c)) for r, t in enumerate(texts) for k, c in enumerate(t)], "row long, doc_id long, pos int, id string, bytes int")
 
 
 def test_repeated_runs_are_maximal(spark):
-    x = spark.createDataFrame([(0, k, c) for k, c in enumerate("abcde")] + [(1, k, c) for k, c in enumerate("xabcdy")], "row long, pos int, id string")
-    assert [tuple(r) for r in line_dedup.repeated_runs(x).collect()] == [(1, 1, 4, 0, 0)]
+    assert [tuple(r) for r in line_dedup.repeated_runs(line_table(spark, "abcde", "xabcdy")).collect()] == [(1, 1, 4, 0, 0)]
+
+
+def test_intervals_are_those_of_the_suffix_array(spark):
+    """Each round's intervals hold the places with a common prefix, and their ranks are in the order of the suffixes."""
+    r = np.random.default_rng(8)
+    texts = ["".join(r.choice(list("abc"), size=n)) for n in (30, 50, 7)]
+    levels = line_dedup.intervals(line_table(spark, *texts), 3)
+    for level in levels:
+        rows = level.collect()
+        size = rows[0]["size"]
+        runs = Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
+        assert {(x["row"], x["pos"]) for x in rows} == {(k, i) for k, t in enumerate(texts) for i in range(len(t) - size + 1) if runs[t[i : i + size]] > 1}
+        named = sorted((x["rank"], texts[x["row"]][x["pos"] : x["pos"] + size]) for x in rows)
+        assert [a for _, a in named] == sorted(a for _, a in named)
+        first = {}
+        for k, (rank, run) in enumerate(named):  # a rank counts the places before its interval
+            assert rank == first.setdefault(run, k)
+    assert [x.first()["size"] for x in levels][:4] == [1, 2, 3, 6]
 
 
 def test_pipeline(spark):
