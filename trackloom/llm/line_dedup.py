@@ -30,10 +30,8 @@ MIN_RUN, MIN_BYTES = 3, 300
 
 def ranked(places: DataFrame, *key: str) -> DataFrame:
     """places whose key occurs more than once, with rank (places with a smaller key) and source (the first place with the key)."""
-    spark = places.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     groups = places.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "pos")).alias("source")).where("n > 1")
-    groups = materialize(groups.repartitionByRange(parts, *key).withColumn("part", F.spark_partition_id()), "runs")
+    groups = materialize(groups.repartitionByRange(*key).withColumn("part", F.spark_partition_id()), "runs")
     sums = {r["part"]: r["n"] for r in groups.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a row for each partition
     before = [0, *accumulate(sums.get(k, 0) for k in range(max(sums, default=0) + 1))]
     inside = F.sum("n").over(Window.partitionBy("part").orderBy(*key).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
