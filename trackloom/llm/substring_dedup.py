@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import discard, materialize, mix, powers, text_chunks
+from trackloom.llm.common import CHUNK_BYTES, discard, materialize, mix, numbered, powers, text_chunks
 
 LENGTH, GRAM = 400, 64
 LEFT = LENGTH - GRAM
 #: Distinct contexts of a gram that one task puts in order.
 GROUP = 4096
 MOST_LISTED = 2000
+#: Occurrences that a worker holds before it sends them.
+CONTEXTS = 2000
 _ORDER_BITS = np.uint64(31)
 
 
@@ -73,6 +75,15 @@ def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+def anchors_of(raw: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """anchors() in pieces of CHUNK_BYTES, which overlap so that each window is whole in one; an anchor may come from two."""
+    step = CHUNK_BYTES
+    for a in range(0, max(1, len(raw) - LENGTH + 1), step):
+        piece = raw[a : a + step + LENGTH - 1]
+        at, h = anchors(piece, np.clip(offs - a, 0, len(piece)))
+        yield at + a, h
+
+
 def anchor_table(docs: DataFrame) -> DataFrame:
     """gram, row, pos of all anchors."""
 
@@ -80,9 +91,13 @@ def anchor_table(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids = np.asarray(batch.column(0))
             for i, j, raw, offs in text_chunks(batch.column(1)):
-                at, h = anchors(raw, offs)
-                d = np.searchsorted(offs, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[i:j][d]), pa.array((at - offs[d]))], names=["gram", "row", "pos"])
+                last = -1
+                for at, h in anchors_of(raw, offs):
+                    new = at > last  # pieces overlap by less than a window
+                    at, h = at[new], h[new]
+                    last = at[-1] if len(at) else last
+                    d = np.searchsorted(offs, at, "right") - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[i:j][d]), pa.array((at - offs[d]))], names=["gram", "row", "pos"])
 
     return docs.select("row", F.col("text").cast("binary")).mapInArrow(run, "gram long, row long, pos long")
 
@@ -94,12 +109,20 @@ def contexts(docs: DataFrame) -> DataFrame:
     def run(batches):
         import hashlib
 
+        def batch_of(out):
+            kinds = [pa.int64()] * 6 + [pa.binary()] * 2
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["gram", "c1", "c2", "row", "pos", "n", "left", "right"])
+
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 out, first = [], {}
-                for row, text, grams, places in zip(*(part.column(c).to_pylist() for c in range(4)), strict=True):
-                    for g, p in zip(grams, places, strict=True):
+                for row, text, grams, places in zip(*(part.column(c) for c in range(4)), strict=True):
+                    row, text = row.as_py(), text.as_py()
+                    for g, p in zip(grams.as_py(), places.as_py(), strict=True):
+                        if len(out) >= CONTEXTS:
+                            yield batch_of(out)
+                            out, first = [], {}
                         a, b = text[max(0, p - LEFT) : p], text[p : p + LENGTH]
                         if len(a) + len(b) < LENGTH:
                             continue
@@ -115,9 +138,7 @@ def contexts(docs: DataFrame) -> DataFrame:
                             first[key] = r
                         out.append(r)
                 if out:
-                    cols = list(zip(*out, strict=True))
-                    kinds = [pa.int64()] * 6 + [pa.binary()] * 2
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["gram", "c1", "c2", "row", "pos", "n", "left", "right"])
+                    yield batch_of(out)
 
     return docs.mapInArrow(run, schema)
 
@@ -260,10 +281,9 @@ def _large(held: DataFrame) -> DataFrame:
         text = held.groupBy("gram", "c1", "c2").agg(F.min("left").alias("left"), F.min("right").alias("right"))
         full = materialize(open_.join(text, ["gram", "c1", "c2"]), "class-texts")
         name = F.xxhash64(*keys).alias("class")
-        parts = max(1, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * 4
         # A region that repeats is in `found` already; n > 1 would say that its context repeats as a whole.
         small = full.where(F.col("m") <= GROUP).select(name, "c1", "c2", F.lit(1).cast("long").alias("n"), "left", "right", "gram")
-        done = small.repartition(parts, "class").sortWithinPartitions("class").mapInArrow(_settle, "class long, c1 long, c2 long, l long, r long")
+        done = small.repartition("class").sortWithinPartitions("class").mapInArrow(_settle, "class long, c1 long, c2 long, l long, r long")
         found.append(done.join(small.select("class", "c1", "c2", "gram"), ["class", "c1", "c2"]).select("gram", "c1", "c2", "l", "r"))
         todo = full.where(F.col("m") > GROUP).select("gram", "c1", "c2", "n", "left", "right", F.col("a").cast("int").alias("first"), F.least(F.lit(LEFT + 1), F.col("a") + width).cast("int").alias("last"))
     out = found[0]
@@ -274,7 +294,6 @@ def _large(held: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """row, starts, ends: byte ranges of documents (row, text) covered by repeats of LENGTH bytes; ranges may overlap."""
-    spark = docs.sparkSession
     at = materialize(anchor_table(docs), "anchors")
     # Written out, so that both sides of the join are plain exchanges and Spark can split a hot gram.
     twice = materialize(at.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "grams")
@@ -286,16 +305,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     held = ctx.where("n is not null").select("gram", "c1", "c2", "n", "left", "right")
     sizes = ctx.where("n is not null").groupBy("gram").agg(F.count("*").alias("m"))
     big = materialize(sizes.where(F.col("m") > GROUP).select("gram"), "big")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 4
     hot = [r["gram"] for r in big.limit(MOST_LISTED + 1).collect()]
     if len(hot) > MOST_LISTED:  # too many to name in an expression
         small, large = held.join(big, "gram", "left_anti"), held.join(big, "gram", "left_semi")
     else:
         small, large = held.where(~F.col("gram").isin(hot)), held.where(F.col("gram").isin(hot))
-    done = small.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_settle, "gram long, c1 long, c2 long, l long, r long")
+    done = small.repartition("gram").sortWithinPartitions("gram").mapInArrow(_settle, "gram long, c1 long, c2 long, l long, r long")
     if hot:
         done = done.unionByName(_large(large))
-    done = materialize(done, "extents")
     spans = ctx.select("gram", "c1", "c2", "row", "pos").join(done, ["gram", "c1", "c2"])
     out = materialize(spans.groupBy("row").agg(F.collect_set(F.struct((F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b"))).alias("spans")), "spans")
     discard(ctx)
@@ -314,14 +331,16 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def substring_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
-    """Per row of docs (row, doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with texts=True spans and kept (binary).
+    """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, and with texts=True spans and kept (binary).
 
-    row tells rows apart. Bytes covered by a LENGTH-byte string that starts anywhere else too, in
-    the same document or another, are removed, all copies of them; matches never cross documents.
-    Null is empty; documents shorter than LENGTH keep all.
+    Bytes covered by a LENGTH-byte string that starts anywhere else too, in the same document or
+    another, are removed, all copies of them; matches never cross documents. Null is empty;
+    documents shorter than LENGTH keep all. Rows are documents, whether doc_id repeats or is null;
+    extra columns are ignored; an empty table gives no rows.
     """
+    docs = numbered(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     spans = repeated_spans(docs.select("row", "text"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<a:long,b:long>>, kept binary" * texts
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long" + ", spans array<struct<a:long,b:long>>, kept binary" * texts
 
     def run(batches):
         import hashlib
@@ -335,9 +354,9 @@ def substring_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
                     kept.append(text[at:a])
                     at = b
                 kept = b"".join([*kept, text[at:]])
-                rows.append((doc_id, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), *(([{"a": a, "b": b} for a, b in runs], kept) if texts else ())))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * (7 if texts else 5)
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.binary()]
+                rows.append((doc_id, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), len(kept), *(([{"a": a, "b": b} for a, b in runs], kept) if texts else ())))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * (8 if texts else 6)
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], names=[f.split()[0] for f in schema.split(", ")])
 
     full = docs.select("row", "doc_id", F.col("text").cast("binary").alias("text")).join(spans, "row", "left")
@@ -345,6 +364,4 @@ def substring_dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    # doc_id is the key of the table, so it numbers the rows.
-    return substring_dedup(docs.select(F.col("doc_id").alias("row"), "doc_id", "text"))
+    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
