@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import discard, materialize, mix, shingles_of, text_chunks, word_hashes, words_of
+from trackloom.llm.common import discard, materialize, mix, numbered, shingles_of, text_chunks, word_hashes, words_of
 from trackloom.llm.components import components
 
 #: Linked if 100 * intersection >= PERCENT * union.
@@ -219,14 +219,21 @@ def _join_task(row_lists: np.ndarray, sets: list[np.ndarray], side: np.ndarray |
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """One row per input row: row, doc_id, n_shingles, component_id.
+    """One row per input row: row (a number), doc_id, n_shingles, component_id, class (the number of one of its rows).
 
-    docs: row (a number that tells rows apart), doc_id, text. component_id is the smallest doc_id
-    that links lead to, the document's own included. Texts null, empty or of white space only have
-    no shingles and no links. Rows with null doc_id take part; a class of them alone has a null id.
+    docs: doc_id, text; extra columns are ignored. component_id is the smallest doc_id that links lead
+    to, the document's own included. Texts null, empty or of white space only have no shingles and no
+    links. Rows are documents, whether doc_id repeats or is null: rows with null doc_id take part, and
+    a class of them alone has a null id. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    rows = docs.select("row", "doc_id", "text")
+    rows = numbered(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    found = classes_of_rows(rows)
+    discard(rows)  # the classes are written
+    return found
+
+
+def classes_of_rows(rows: DataFrame) -> DataFrame:
+    """jaccard_classes() of rows that have their number in a written column `row`."""
     posts = materialize(prefix_postings(rows), "postings")
     sized = materialize(posts.where("n is not null").select("row", "n", "h1", "h2", "shared"), "sized")
     # 1. One row of each set goes on.
@@ -255,8 +262,9 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     known = sized.join(label, ["n", "h1", "h2"], "left").select("row", "n", F.coalesce("label", "row").alias("label"))
     ids = rows.select("row", "doc_id")
     full = materialize(ids.join(known, "row"), "labels")
-    best = full.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return full.join(best, "label").select("row", "doc_id", F.col("n").alias("n_shingles"), "component_id")
+    # Written, so that both sides of the join are plain exchanges and Spark can split a large class.
+    best = materialize(full.groupBy("label").agg(F.min("doc_id").alias("component_id")), "best")
+    return full.join(best, "label").select("row", "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("label").alias("class"))
 
 
 def _gathered(prefix: DataFrame) -> DataFrame:
@@ -351,17 +359,12 @@ def _blocks(inside: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without documents whose class holds a smaller doc_id (or the same in an earlier row)."""
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("__row"), "*"), "rows")
-    found = jaccard_classes(rows.select(F.col("__row").alias("row"), "doc_id", "text"))
+    rows = numbered(docs, row="__row")
+    found = classes_of_rows(rows.select(F.col("__row").alias("row"), "doc_id", "text"))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))
-    # Classes are named by their smallest doc_id; rows without shingles stand alone, as do classes of null ids.
-    own = F.when((F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.concat(F.lit("r"), F.col("row"))).otherwise(F.concat(F.lit("c"), F.col("component_id")))
-    keep = materialize(found.groupBy(own).agg(first.alias("f")).select(F.col("f.row").alias("__row")), "kept")
+    keep = materialize(found.groupBy("class").agg(first.alias("f")).select(F.col("f.row").alias("__row")), "kept")
     return rows.join(keep, "__row", "left_semi").select(*docs.columns)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    # doc_id is the key of the table, so it numbers the rows.
-    out = jaccard_classes(docs.select(F.col("doc_id").alias("row"), "doc_id", "text"))
-    return out.select("doc_id", "n_shingles", "component_id")
+    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
