@@ -2,22 +2,28 @@
 
 Features are counted on the bytes of whole texts: densities of a seed lexicon and of a lexicon
 learnt from the training rows, second-person words near hits, capitals, punctuation and
-obfuscation. Trees and calibration are fitted here, in numpy, on a bounded sample of labelled rows.
+obfuscation. Lexicons are learnt and features counted on the executors, from whole texts of a bounded
+sample of labelled rows; trees and calibration are fitted at the driver, in numpy, on the features.
 """
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterator
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import mix, settle, text_chunks, word_hashes, words_of
+from trackloom.llm.common import discard, materialize, mix, settle, text_chunks, word_hashes, words_of
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hashed doc_id.
 SAMPLE_ROWS = 8_000
-#: Bytes of a training text that are held at the driver at most; longer ones aren't drawn.
-SAMPLE_BYTES = 1 << 17
+#: Parts of the sample whose margins calibrate, each by a model of the others.
+PARTS = 3
 FOLDS, TREES, DEPTH, BINS, RATE = 5, 80, 3, 32, 0.15
 
 SEED_WORDS = """idiot idiots moron morons stupid dumb fool loser losers trash garbage scum pathetic worthless disgusting
@@ -133,26 +139,29 @@ def features(raw: np.ndarray, offs: np.ndarray, lexicon: tuple[np.ndarray, np.nd
 N_FEATURES = 24
 
 
-def learn_lexicon(texts: list[bytes], y: np.ndarray, most: int = 200, least: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Words whose presence tells the classes apart by over 4 standard errors: hashes and log odds, `most` at most."""
-    hs, ys = [], []
-    for t, label in zip(texts, y, strict=True):
-        raw = np.frombuffer(t, np.uint8)
-        u = np.unique(letter_words(raw, np.array([0, len(raw)]))[0]) if len(raw) else np.zeros(0, np.uint64)
-        hs.append(u)
-        ys.append(np.full(len(u), label))
-    if not hs or not sum(map(len, hs)):
-        return np.zeros(0, np.uint64), np.zeros(0)
-    words, inv = np.unique(np.concatenate(hs), return_inverse=True)
-    pos = np.bincount(inv, weights=np.concatenate(ys), minlength=len(words))
-    all_ = np.bincount(inv, minlength=len(words))
-    n1, n0 = max(1, y.sum()), max(1, len(y) - y.sum())
+def word_presence(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(place in the array, distinct word hashes) of each text."""
+    for i, j, raw, offs in text_chunks(texts):
+        h, d, _, _ = letter_words(raw, offs)
+        ends = np.searchsorted(d, np.arange(j - i + 1))
+        for k in range(j - i):
+            yield i + k, np.unique(h[ends[k] : ends[k + 1]])
+
+
+def learn_lexicon(counts: np.ndarray, hashes: np.ndarray, n1: float, n0: float, most: int = 200, least: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Words whose presence tells the classes apart by over 4 standard errors: hashes and log odds, `most` at most.
+
+    counts: for each hash the texts of class 1 and of all classes that hold it; n1, n0: texts of each class.
+    """
+    pos, all_ = counts[:, 0].astype(float), counts[:, 1].astype(float)
+    n1, n0 = max(1.0, n1), max(1.0, n0)
     a, b = pos + 0.5, all_ - pos + 0.5
     odds = np.log(a / (n1 - pos + 0.5)) - np.log(b / (n0 - (all_ - pos) + 0.5))
     z = odds / np.sqrt(1 / a + 1 / b)
     good = np.flatnonzero((all_ >= least) & (z > 4))
-    good = np.sort(good[np.argsort(-z[good], kind="stable")[:most]])
-    return words[good], odds[good]
+    good = good[np.lexsort((hashes[good], -z[good]))[:most]]
+    good = good[np.argsort(hashes[good], kind="stable")]
+    return hashes[good], odds[good]
 
 
 class Boosted:
@@ -222,32 +231,26 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Lexicon, trees and calibration; score() takes a chunk of texts."""
 
-    def __init__(self, texts: list[bytes], y: np.ndarray, fold: np.ndarray):
+    def __init__(self, lexicon: tuple[np.ndarray, np.ndarray], tables: np.ndarray, y: np.ndarray, part: np.ndarray):
+        """tables: features of the sample by the lexicons learnt without parts 0 to PARTS - 1 and by the whole one; part: of each row."""
         y = y.astype(float)
+        self.lexicon, self.trees = lexicon, None
         if not len(y) or y.min() == y.max():
-            self.lexicon, self.trees = (np.zeros(0, np.uint64), np.zeros(0)), None
-            self.knots = np.array([0.0]), np.array([float(y.mean()) if len(y) else 0.0])
+            warnings.warn("labels of one class only: no document is told toxic", stacklevel=2)
             return
         # The margins that calibrate come from trees and lexicons that haven't seen their rows.
-        out = np.zeros(len(y))
-        for k in range(3):
-            own, rest = fold % 3 == k, fold % 3 != k
+        out, seen = np.zeros(len(y)), np.zeros(len(y), bool)
+        for k in range(PARTS):
+            own, rest = part == k, part != k
             if own.any() and rest.any() and 0 < y[rest].sum() < rest.sum():
-                lex = learn_lexicon([t for t, r in zip(texts, rest, strict=True) if r], y[rest])
-                x = self.table(texts, lex)
-                out[own] = Boosted().fit(x[rest], y[rest]).margin(x[own])
-        self.lexicon = learn_lexicon(texts, y)
-        self.trees = Boosted().fit(self.table(texts, self.lexicon), y)
-        self.knots = isotonic(out, y)
-
-    @staticmethod
-    def table(texts: list[bytes], lexicon) -> np.ndarray:
-        parts = [features(raw, offs, lexicon) for _, _, raw, offs in text_chunks(pa.array(texts, pa.large_binary()))]
-        return np.concatenate(parts) if parts else np.zeros((0, N_FEATURES))
+                out[own] = Boosted().fit(tables[k][rest], y[rest]).margin(tables[k][own])
+                seen |= own
+        self.trees = Boosted().fit(tables[PARTS], y)
+        self.knots = isotonic(out[seen], y[seen]) if seen.any() else (np.array([-1.0, 1.0]), np.array([0.0, 1.0]))
 
     def score(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
         if self.trees is None:
-            return np.full(len(offs) - 1, self.knots[1][0])
+            return np.zeros(len(offs) - 1)
         return np.clip(np.interp(self.trees.margin(features(raw, offs, self.lexicon)), *self.knots), 0, 1)
 
 
@@ -256,13 +259,56 @@ def held_out(doc_id="doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on at most `rows` labelled rows outside the held-out fold. Null labels and doc_ids aren't drawn."""
+    """Fits on at most `rows` labelled rows outside the held-out fold, whole texts of any length.
+
+    Null labels and doc_ids aren't drawn; a doc_id with several labels or texts counts once for each.
+    Null texts count as empty. Labels of one class, or none, tell nothing: every score is then 0, with
+    a warning. The driver gets N_FEATURES numbers a row and the words that pass as a lexicon.
+    """
     place = F.xxhash64("doc_id", F.lit(6))
-    drawn = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "toxic", place.alias("place")).orderBy("place", "toxic").limit(rows)
+    drawn = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"), place.alias("place")).orderBy("place", "toxic").limit(rows)
     # At most `rows` rows of three numbers: the broadcast is bounded.
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(drawn), "doc_id").select("place", "toxic", F.encode("text", "UTF-8").alias("text")).toPandas()
-    got = got.sort_values(["place", "text"])
-    return Model([bytes(t) for t in got["text"]], got["toxic"].to_numpy(), (mix(got["place"].to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(97)).astype(int))
+    sample = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id").select("place", "toxic", F.xxhash64("text").alias("tie"), "text")
+    sample = materialize(sample, "sample")
+
+    def part_of(place: pa.Array) -> np.ndarray:
+        return (mix(np.asarray(place).view(np.uint64)) % np.uint64(97) % np.uint64(PARTS)).astype(np.int64)
+
+    def presence(batches):
+        for batch in batches:
+            part, y = part_of(batch.column(0)), np.asarray(batch.column(1))
+            for k, h in word_presence(batch.column(2)):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), part[k] * 2 + (y[k] > 0)))], names=["hash", "cell"])
+
+    cells = [F.count_if(F.col("cell") == c).alias(f"c{c}") for c in range(2 * PARTS)]
+    held = sample.select("place", "toxic", "text").mapInArrow(presence, "hash long, cell long").groupBy("hash").agg(*cells)
+    # A word of a lexicon is in 5 texts at least, and relatively more often in those of class 1.
+    marks = sample.select("place", "toxic", "tie").toArrow()
+    part, y = part_of(marks["place"].combine_chunks()), (np.asarray(marks["toxic"]) > 0).astype(float)
+    pos, every = (reduce(add, [F.col(f"c{c}") for c in range(k, 2 * PARTS, 1 + k)]) for k in (1, 0))
+    few = held.withColumn("pos", pos).withColumn("every", every).where((F.col("every") >= 5) & (F.col("pos") * 2 >= F.col("every") * float(y.mean() if len(y) else 0)))
+    few = few.select("hash", *[f"c{c}" for c in range(2 * PARTS)]).toArrow()
+    hashes = np.asarray(few["hash"]).view(np.uint64) if few.num_rows else np.zeros(0, np.uint64)
+    table = np.stack([np.asarray(few[f"c{c}"]) for c in range(2 * PARTS)], 1) if few.num_rows else np.zeros((0, 2 * PARTS), np.int64)
+    lexicons = []
+    for k in [*range(PARTS), None]:
+        rest, cols = part != k if k is not None else np.ones(len(y), bool), [p for p in range(PARTS) if p != k]
+        counts = np.stack([table[:, [2 * p + 1 for p in cols]].sum(1), table[:, [2 * p + c for p in cols for c in (0, 1)]].sum(1)], 1)
+        lexicons.append(learn_lexicon(counts, hashes, y[rest].sum(), len(y[rest]) - y[rest].sum()))
+
+    def measured(batches):
+        for batch in batches:
+            for i, j, raw, offs in text_chunks(batch.column(3)):
+                x = np.concatenate([features(raw, offs, lex) for lex in lexicons], 1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(3)), lists], names=["place", "toxic", "tie", "x"])
+
+    got = sample.mapInArrow(measured, "place long, toxic int, tie long, x array<double>").toArrow()
+    discard(sample)
+    place, y, tie = (np.asarray(got[c]) for c in ("place", "toxic", "tie"))
+    order = np.lexsort((tie, y, place))  # so that the fit doesn't depend on partitions
+    x = np.asarray(got["x"].combine_chunks().flatten()).reshape(len(y), PARTS + 1, N_FEATURES) if len(y) else np.zeros((0, PARTS + 1, N_FEATURES))
+    return Model(lexicons[-1], x[order].transpose(1, 0, 2), (y[order] > 0).astype(float), part_of(pa.array(place[order])) if len(y) else np.zeros(0, np.int64))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
