@@ -88,6 +88,37 @@ def test_a_batch_given_twice_keeps_nothing(spark, tmp_path):
     assert not any(r["kept"] for r in exact_dedup.exact_dedup(x, old).collect())
 
 
+def test_index_over_three_batches(spark, tmp_path):
+    frame = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    at = f"file://{tmp_path}/index"
+    exact_dedup.exact_dedup(frame(*((k, f"t{k}") for k in range(1000)), (1000, "t7")), at).collect()
+    got = by_id(exact_dedup.exact_dedup(frame((1, "t7"), (2, "t7"), (3, "new"), (4, "t8")), at))  # a small batch on a larger index
+    assert [(got[k]["keep_id"], got[k]["group_size"], got[k]["kept"]) for k in (1, 2, 3, 4)] == [(1000, 4, False), (1000, 4, False), (3, 1, True), (8, 2, False)]
+    got = by_id(exact_dedup.exact_dedup(frame((9, "t7"), (10, "new")), at))
+    assert [(got[k]["keep_id"], got[k]["group_size"], got[k]["kept"]) for k in (9, 10)] == [(1000, 5, False), (3, 2, False)]
+    index = exact_dedup.DigestIndex(spark, at)
+    small = index.compacted(f"file://{tmp_path}/small")
+    key = lambda r: r["digest"]
+    assert sorted(index.digests().collect(), key=key) == sorted(small.digests().collect(), key=key) and small.frame().count() == 1001
+    assert small.buckets == index.buckets == exact_dedup.BUCKETS[0] and len(list((tmp_path / "small").glob("*.parquet"))) <= small.buckets
+    assert [r["group_size"] for r in exact_dedup.exact_dedup(frame((11, "t7")), small.path).collect()] == [6]
+    index.drop()
+    assert not (tmp_path / "index").exists()
+
+
+def test_a_failed_batch_leaves_the_index(spark, tmp_path):
+    at = f"file://{tmp_path}/index"
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, at)
+    index.append(exact_dedup.digests_of(rows))
+    before = sorted(map(tuple, index.frame().collect()))
+    bad = exact_dedup.digests_of(rows).unionByName(spark.createDataFrame([(3, 0)], "doc_id long, row long").withColumn("digest", F.expr("if(doc_id = 3, raise_error('lost'), 'x')").cast("string")))
+    with pytest.raises(Exception, match="lost"):
+        index.append(bad)
+    assert sorted(map(tuple, exact_dedup.DigestIndex(spark, at).frame().collect())) == before
+    assert not any(r["kept"] for r in exact_dedup.exact_dedup(rows, at).collect())
+
+
 # ---- Jaccard join ----------------------------------------------------------
 
 
@@ -347,6 +378,59 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score_documents(none, toxicity.fit(none, labels)).count() == 0
 
 
+def plain_features(text):
+    """Some features counted from the string alone."""
+    words = re.findall(r"[A-Za-z\x80-\U0010ffff]+", text)
+    low = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words]
+    seed, you = [w in toxicity.SEED_WORDS for w in low], [w in toxicity.SECOND_PERSON for w in low]
+    near = [any(you[j] for j in range(max(0, i - 5), min(len(low), i + 6)) if j != i) for i in range(len(low))]
+    raw, n = text.encode(), max(1, len(words))
+    punct = [not re.match(rb"[A-Za-z0-9\x80-\xff \t-\r]", raw[i : i + 1]) for i in range(len(raw))]
+    caps = sum(len(w) > 2 and all("A" <= c <= "Z" for c in w) for w in words)
+    b = max(1, len(raw))
+    return {
+        0: np.log1p(len(words)), 1: sum(seed), 2: sum(seed) / n, 8: len({w for w, s in zip(low, seed, strict=True) if s}), 10: sum(you) / n, 11: sum(a and c for a, c in zip(near, seed, strict=True)),
+        13: sum(65 <= c <= 90 for c in raw) / b, 14: caps / n, 15: sum(punct) / b, 16: sum(a and c for a, c in itertools.pairwise(punct)) / b, 17: raw.count(b"!") / b, 18: raw.count(b"?") / b,
+        19: sum(48 <= c <= 57 for c in raw) / b, 23: len(raw) / n,
+    }
+
+
+def test_features_against_plain_counting():
+    texts = ["You are an IDIOT!! id1ot, really?", "", "fool " * 3 + "and you, YOU... 12 fools", "nothing here", "WORTHLESS trash -- don't YELL é ÉTÉ you", "a1b2 !?! tú eres idiota"]
+    _, _, raw, offs = next(toxicity.text_chunks(pa.array(texts)))
+    got = toxicity.features(raw, offs, (np.zeros(0, np.uint64), np.zeros(0)))
+    for row, t in zip(got, texts, strict=True):
+        for k, v in plain_features(t).items():
+            assert row[k] == pytest.approx(v if t else 0), (k, t)
+
+
+def test_the_lexicon_is_that_of_plain_counting(spark):
+    r = np.random.default_rng(3)
+    texts = [prose(40, k) + (" grumpy gnarl" if k % 3 == 0 and r.random() < 0.9 else "") + (" filler" if r.random() < 0.5 else "") for k in range(600)]
+    x = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(600)], "doc_id long, toxic int")
+    used = [k for k in range(600) if zlib.crc32(str(k).encode()) % 5]
+    model = toxicity.fit(x, labels)
+    words = {w: [k for k in used if w in re.findall("[A-Za-z]+", texts[k])] for w in ("grumpy", "gnarl", "filler", "alpha")}
+    n1 = sum(k % 3 == 0 for k in used)
+    odds = {}
+    for w, at in words.items():
+        a = sum(k % 3 == 0 for k in at)
+        odds[w] = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((len(at) - a + 0.5) / (len(used) - n1 - len(at) + a + 0.5))
+    held = dict(zip(model.lexicon[0].tolist(), model.lexicon[1], strict=True))
+    for w in words:
+        h = int(toxicity.hash_words([w])[0])
+        assert (h in held) == (w[0] == "g") and (h not in held or held[h] == pytest.approx(odds[w]))
+
+
+def test_labels_of_one_class_reject_nothing(spark):
+    x = spark.createDataFrame([(1, "fine"), (2, "words " * 100_000), (3, None)], "doc_id long, text string")
+    for toxic in (0, 1):
+        with pytest.warns(UserWarning, match="one class"):
+            model = toxicity.fit(x, spark.createDataFrame([(2, toxic)], "doc_id long, toxic int"))
+        assert [r["__toxicity"] for r in toxicity.score_documents(x, model).collect()] == [0.0] * 3
+
+
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert (np.diff(y) >= 0).all() and y[0] == 0 and y[-1] == 1
