@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import discard, materialize, mix, numbered, shingles_of, text_chunks, word_hashes, words_of
+from trackloom.llm.common import checked, discard, materialize, mix, numbered, shingles_of, text_chunks, word_hashes, words_of
 from trackloom.llm.components import components
 
 #: Linked if 100 * intersection >= PERCENT * union.
@@ -251,7 +251,7 @@ def classes_of_rows(rows: DataFrame) -> DataFrame:
     left = materialize(passed.join(same, ["n", "h1", "h2"]).where("row = rep").select("row", "n"), "left")
     discard(posts, twice)
     # 3. Sets of the documents left, and their candidate classes.
-    sets = materialize(shingle_sets(rows.join(left.select("row"), "row", "left_semi")), "shingles")
+    sets = materialize(shingle_sets(rows.join(checked(left.select("row")), "row", "left_semi")), "shingles")
     prefix = sets.select("row", F.explode(F.expr(f"slice(shingles, 1, cast(n - ceil(n * {PERCENT} / 100) + 1 as int))")).alias("shingle"))
     classes = _gathered(prefix)
     # 4. The join inside each class.
@@ -292,7 +292,7 @@ def _rare_prefixes(sets: DataFrame) -> DataFrame:
 
 def _of_classes(sets: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sets with their class, and the classes over BLOCK_SHINGLES."""
-    inside = materialize(sets.join(classes, sets["row"] == classes["node"]).select(F.col("label").alias("class"), "row", "n", "shingles"), "classes")
+    inside = materialize(sets.join(checked(classes), sets["row"] == classes["node"]).select(F.col("label").alias("class"), "row", "n", "shingles"), "classes")
     big = inside.groupBy("class").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_SHINGLES)
     return inside, materialize(big, "big")
 
@@ -358,12 +358,16 @@ def _blocks(inside: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without documents whose class holds a smaller doc_id (or the same in an earlier row)."""
+    """docs without documents whose class holds a smaller doc_id (or the same in an earlier row); null ids come last.
+
+    Texts don't move, unless over BROADCAST_ROWS documents go.
+    """
     rows = numbered(docs, row="__row")
     found = classes_of_rows(rows.select(F.col("__row").alias("row"), "doc_id", "text"))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))
-    keep = materialize(found.groupBy("class").agg(first.alias("f")).select(F.col("f.row").alias("__row")), "kept")
-    return rows.join(keep, "__row", "left_semi").select(*docs.columns)
+    kept = materialize(found.groupBy("class").agg(first.alias("f"), F.count("*").alias("n")).where("n > 1").select("class", F.col("f.row").alias("kept")), "kept")
+    gone = found.join(kept, "class").where("row <> kept").select(F.col("row").alias("__row"))
+    return rows.join(checked(materialize(gone, "gone")), "__row", "left_anti").select(*docs.columns)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
