@@ -39,13 +39,16 @@ def keys_of(snapped: DataFrame) -> DataFrame:
     return snapped.groupBy(*KEY).agg(F.min("px_lon").alias("px_lon"), F.min("px_lat").alias("px_lat"), F.count("*").alias("n_fixes"), F.min("timestamp").alias("t_ref"))
 
 
-def number_keys(keys: DataFrame, blocks: int = 64) -> DataFrame:
-    """key_index: 0-based place among the sorted keys, by counts of row blocks and numbers inside them."""
-    block = F.floor(F.col("px_row") / blocks).alias("block")
-    sums = keys.groupBy(block).agg(F.count("*").alias("n"))  # few rows: one for each band of pixel rows
-    base = sums.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("base"))
-    w = Window.partitionBy("block").orderBy(*KEY)
-    return keys.withColumn("block", F.floor(F.col("px_row") / blocks)).join(base, "block").withColumn("key_index", F.col("base") + F.row_number().over(w) - 1).drop("block", "base")
+def number_keys(keys: DataFrame, columns: int = 64) -> DataFrame:
+    """key_index: 0-based place among the sorted keys: keys in the rows above, in the blocks of columns before, and in the block."""
+    block = F.floor(F.col("px_col") / columns)
+    x = keys.withColumn("block", block)
+    sums = x.groupBy("px_row", "block").agg(F.count("*").alias("n"))
+    rows = sums.groupBy("px_row").agg(F.sum("n").alias("n"))  # one for each row of pixels of the whole lattice, at most
+    above = rows.select("px_row", (F.sum("n").over(Window.orderBy("px_row")) - F.col("n")).alias("above"))
+    before = sums.select("px_row", "block", (F.sum("n").over(Window.partitionBy("px_row").orderBy("block")) - F.col("n")).alias("before")).join(above, "px_row")
+    w = Window.partitionBy("px_row", "block").orderBy(*KEY)
+    return x.join(before, ["px_row", "block"]).withColumn("key_index", F.col("above") + F.col("before") + F.row_number().over(w) - 1).drop("block", "above", "before")
 
 
 def reduction(snapped: DataFrame) -> DataFrame:

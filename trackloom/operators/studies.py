@@ -34,18 +34,27 @@ def with_totals(scores: DataFrame, by: str, value: str) -> DataFrame:
     return scores.rollup(by).agg(F.avg(value).alias("mean"), F.count("*").alias("n"), F.grouping(by).alias("g")).select(F.when(F.col("g") == 1, "all").otherwise(F.col(by)).alias(by), "mean", "n")
 
 
-def bootstrap(scores: DataFrame, cluster: str, value: str, draws: int, seed: int = 5) -> DataFrame:
-    """Cluster bootstrap of a mean: the 2.5 and 97.5 percentiles of ratios of sums over clusters drawn with replacement.
+def draws_of(clusters: DataFrame, draws: int, seed: str) -> DataFrame:
+    """i, k, times: how often resample i takes the cluster numbered k of n.
 
-    A cluster's number of draws in each resample comes from hashes, so the clusters aren't joined
-    with each other: the resample needs the places 0 .. n-1 only.
+    Draw j of resample i takes the number that a digest of i, j and the seed gives, so a resample is a
+    multiset of numbers, and clusters aren't joined with each other.
     """
-    c = scores.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    numbered = c.withColumn("k", F.row_number().over(Window.orderBy(cluster)) - 1)  # a row for each cluster
-    m = c.agg(F.count("*").alias("m"))
-    picks = numbered.select("k").crossJoin(F.broadcast(m)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    picks = picks.select("b", F.pmod(F.xxhash64("b", "k", F.lit(seed)), F.col("m")).alias("k"))
-    ratios = picks.join(numbered, "k").groupBy("b").agg((F.sum("s") / F.greatest(F.sum("n"), F.lit(1))).alias("r"))
+    pick = F.conv(F.substring(F.md5(F.concat_ws(":", "i", "k", F.lit(seed))), 1, 12), 16, 10).cast("long") % F.col("n")
+    spread = clusters.select("k", "n").repartition(clusters.sparkSession.sparkContext.defaultParallelism, "k")  # a few rows become many draws
+    return spread.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).groupBy("i", pick.alias("k")).agg(F.count("*").alias("times"))
+
+
+def numbered_clusters(c: DataFrame, cluster: str) -> DataFrame:
+    from trackloom.operators.folds import numbered
+
+    return numbered(c.withColumn("all", F.lit(0)), ["all"], F.floor(F.col(cluster) / 1024), [cluster]).drop("all")
+
+
+def bootstrap(scores: DataFrame, cluster: str, value: str, draws: int, seed: str = "5") -> DataFrame:
+    """Cluster bootstrap of a mean: the 2.5 and 97.5 percentiles of ratios of sums over clusters drawn with replacement."""
+    c = numbered_clusters(scores.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("m")), cluster)
+    ratios = draws_of(c, draws, seed).join(c.drop("n"), "k").groupBy("i").agg((F.sum(F.col("s") * F.col("times")) / F.greatest(F.sum(F.col("m") * F.col("times")), F.lit(1))).alias("r"))
     return ratios.agg(F.percentile("r", F.lit(0.025)).alias("lo"), F.percentile("r", F.lit(0.975)).alias("hi"), F.count("*").alias("draws"))
 
 
@@ -69,19 +78,12 @@ def sign_counts(scores: DataFrame, fold: str, by: str, delta: str) -> DataFrame:
 
 
 def contrast(scores: DataFrame, cluster: str, season: str, value: str, a: str, b: str, draws: int, seed: str = "5") -> DataFrame:
-    """Bootstrap of the difference of two seasons' means, clusters drawn jointly: mean, 2.5 and 97.5 percentiles.
-
-    Draw j of resample i takes the cluster numbered by a digest of i, j and the seed. A resample of
-    clusters is a multiset of numbers, so drawn numbers are counted before they meet the sums.
-    """
-    from trackloom.operators.folds import numbered
-
+    """Bootstrap of the difference of two seasons' means, clusters drawn jointly: mean, 2.5 and 97.5 percentiles."""
     one = lambda s: [F.sum(F.when(F.col(season) == s, F.col(value))), F.count(F.when(F.col(season) == s, F.col(value)))]
     (sa, na), (sb, nb) = one(a), one(b)
     c = scores.groupBy(cluster).agg(F.coalesce(sa, F.lit(0.0)).alias("sa"), na.alias("na"), F.coalesce(sb, F.lit(0.0)).alias("sb"), nb.alias("nb"))
-    c = numbered(c.withColumn("all", F.lit(0)), ["all"], F.floor(F.col(cluster) / 1024), [cluster]).drop("all")
-    pick = F.conv(F.substring(F.md5(F.concat_ws(":", "i", "k", F.lit(seed))), 1, 12), 16, 10).cast("long") % F.col("n")
-    drawn = c.select("k", "n").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).groupBy("i", pick.alias("k")).agg(F.count("*").alias("times"))
+    c = numbered_clusters(c, cluster)
+    drawn = draws_of(c, draws, seed)
     sums = drawn.join(c.drop("n"), "k").groupBy("i").agg(*(F.sum(F.col(s) * F.col("times")).alias(s) for s in ("sa", "na", "sb", "nb")))
     r = sums.select((F.col("sa") / F.greatest("na", F.lit(1)) - F.col("sb") / F.greatest("nb", F.lit(1))).alias("r"))
     return r.agg(F.avg("r").alias("mean"), F.percentile("r", F.lit(0.025)).alias("lo"), F.percentile("r", F.lit(0.975)).alias("hi"), F.count("*").alias("draws"))

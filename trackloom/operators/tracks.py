@@ -16,6 +16,17 @@ def dedup_fixes(fixes: DataFrame, ordinal: str = "event_id") -> DataFrame:
     return fixes.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
 
 
+def once(fixes: DataFrame, ordinal: str = "event_id") -> DataFrame:
+    """dedup_fixes() in the order of an animal's fixes: what follows by time needs no further shuffle or sort."""
+    w = Window.partitionBy(*ANIMAL).orderBy("timestamp", ordinal)
+    return fixes.withColumn("__t", F.lag("timestamp").over(w)).where("__t is null or __t <> timestamp").drop("__t")
+
+
+def histories(fixes: DataFrame, ordinal: str = "event_id") -> DataFrame:
+    """All fixes of each animal over its segments, strictly ascending in time, with their 0-based place k."""
+    return once(fixes, ordinal).withColumn("k", F.row_number().over(Window.partitionBy(*ANIMAL).orderBy("timestamp")) - 1)
+
+
 def with_steps(fixes: DataFrame) -> DataFrame:
     """dt_s, step_m and speed_mps since the animal's fix before (null at its first)."""
     w = Window.partitionBy(*ANIMAL).orderBy("timestamp")
@@ -44,10 +55,31 @@ def sliding_windows(segmented: DataFrame, length: int, horizon: int, stride: int
     """A row for each window of length + horizon successive fixes of a segment: start, window (array), t_origin."""
     n = length + horizon
     w = Window.partitionBy(*ANIMAL, "seg").orderBy("timestamp")
-    out = segmented.withColumn("start", F.row_number().over(w) - 1)
-    out = out.withColumn("window", F.collect_list(F.struct("timestamp", "lat", "lon")).over(w.rowsBetween(0, n - 1)))
-    out = out.where((F.size("window") == n) & (F.col("start") % stride == 0))
-    return out.select(*ANIMAL, "seg", "start", F.col("window")[length]["timestamp"].alias("t_target"), "window")
+    at = segmented.withColumn("start", F.row_number().over(w) - 1)
+    point = F.struct("timestamp", "lat", "lon")
+    if stride == 1:
+        out = at.withColumn("window", F.collect_list(point).over(w.rowsBetween(0, n - 1)))
+    else:  # only windows that are kept: a fix goes to those that hold it
+        first = F.greatest(F.ceil((F.col("start") - (n - 1)) / stride), F.lit(0))
+        out = at.withColumn("start", F.explode(F.transform(F.sequence(first, F.floor(F.col("start") / stride)), lambda k: (k * stride).cast("int"))) if stride < n else F.when(F.col("start") % stride < n, F.col("start") - F.col("start") % stride))
+        out = out.where("start is not null").groupBy(*ANIMAL, "seg", "start").agg(F.sort_array(F.collect_list(point)).alias("window"))
+    return out.where(F.size("window") == n).select(*ANIMAL, "seg", "start", F.col("window")[length]["timestamp"].alias("t_target"), "window")
+
+
+def elapsed(windows: DataFrame) -> DataFrame:
+    """A row for each fix of a window: pos and the seconds since the window's first fix."""
+    out = windows.select(*ANIMAL, "seg", "start", F.posexplode("window").alias("pos", "p"), F.col("window")[0]["timestamp"].alias("t0"))
+    return out.select(*ANIMAL, "seg", "start", "pos", ((F.unix_micros("p.timestamp") - F.unix_micros("t0")) / 1e6).alias("elapsed_s"))
+
+
+def rotated(steps: DataFrame, window: list[str], seed: str = "3", mirror: bool = True) -> DataFrame:
+    """dx, dy turned by one random angle for each window, and mirrored (x to -x, first) in half of them; angles come from digests."""
+    digest = F.md5(F.concat_ws(":", *(F.col(c).cast("string") for c in window), F.lit(seed)))
+    angle = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48) * 2 * F.pi()
+    flip = F.when(F.conv(F.substring(digest, 13, 1), 16, 10).cast("int") < 8, -1.0).otherwise(1.0) if mirror else F.lit(1.0)
+    x = steps.withColumn("__a", angle).withColumn("__x", F.col("dx") * flip)
+    turned = {"dx": F.col("__x") * F.cos("__a") - F.col("dy") * F.sin("__a"), "dy": F.col("__x") * F.sin("__a") + F.col("dy") * F.cos("__a")}
+    return x.withColumns(turned).drop("__a", "__x")
 
 
 def displacements(windows: DataFrame, length: int) -> DataFrame:
@@ -59,12 +91,29 @@ def displacements(windows: DataFrame, length: int) -> DataFrame:
     return out.withColumn("dx", F.coalesce(F.col("x") - F.lag("x").over(w), F.lit(0.0))).withColumn("dy", F.coalesce(F.col("y") - F.lag("y").over(w), F.lit(0.0))).drop("o", "p")
 
 
+def kth_smallest(values: DataFrame, column: str, k: int) -> int:
+    """The k-th smallest (from 1) of a column of longs, by counting 16 bits at a time: no state grows with the distinct values."""
+    prefix = None
+    for shift in (48, 32, 16, 0):
+        part = values if prefix is None else values.where(F.shiftright(column, shift + 16) == prefix)
+        for r in sorted(part.groupBy(F.shiftright(column, shift).alias("b")).agg(F.count("*").alias("n")).collect()):  # 65,536 rows at most
+            if r["n"] >= k:
+                prefix = r["b"]
+                break
+            k -= r["n"]
+    return prefix
+
+
 def sampling_profile(fixes: DataFrame) -> DataFrame:
-    """Median of positive intervals in hours, and the share within a tenth of it."""
-    h = with_steps(fixes).where("dt_s > 0").select((F.col("dt_s") / 3600).alias("h"))
-    median = h.agg(F.percentile("h", F.lit(0.5)).alias("median_h"))
-    near = F.col("h").between(0.9 * F.col("median_h"), 1.1 * F.col("median_h")).cast("double")
-    return h.crossJoin(F.broadcast(median)).groupBy("median_h").agg(F.avg(near).alias("regular_share"), F.count("*").alias("n"))  # one row is broadcast
+    """Median of positive intervals in hours, and the share within a tenth of it. No interval, no row."""
+    us = with_steps(fixes).where("dt_s > 0").select(F.round(F.col("dt_s") * 1e6).cast("long").alias("us"))
+    n = us.count()
+    if not n:
+        return us.sparkSession.createDataFrame([], "median_h double, regular_share double, n long")
+    a, b = (kth_smallest(us, "us", k) for k in ((n + 1) // 2, n // 2 + 1))
+    h, median = F.col("us") / 3.6e9, F.lit((a + b) / 2 / 3.6e9)
+    near = h.between(0.9 * median, 1.1 * median).cast("double")
+    return us.agg(F.avg(near).alias("regular_share"), F.count("*").alias("n")).select(median.alias("median_h"), "regular_share", "n")
 
 
 def modal_interval(fixes: DataFrame, bins: int = 200, most_h: float = 72.0) -> DataFrame:

@@ -99,9 +99,9 @@ def _(spark, d):
     return x.select("event_id", F.round(geo.haversine(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon")), 3).alias("metres"))
 
 
-@query("trajectory_segments", f"WITH {SEGS} SELECT event_id, study_id, individual_id, seg FROM segs")
+@query("trajectory_segments", f"WITH {SEGS.replace('FROM fixes', 'FROM once', 1).replace('lagged AS', 'once AS (SELECT * FROM fixes QUALIFY row_number() OVER (PARTITION BY study_id, individual_id, timestamp ORDER BY event_id) = 1), lagged AS', 1)} SELECT event_id, study_id, individual_id, seg FROM segs")
 def _(spark, d):
-    return tracks.segments(fixes(spark, d), GAP_S).select("event_id", "study_id", "individual_id", "seg")
+    return tracks.segments(tracks.once(fixes(spark, d)), GAP_S).select("event_id", "study_id", "individual_id", "seg")
 
 
 @query("segments_speed_cap", f"WITH {STEPS} SELECT event_id, CAST(sum(CASE WHEN dt_s > {GAP_S} OR coalesce(step_m / nullif(dt_s, 0), 0) > 2.0 THEN 1 ELSE 0 END) OVER (PARTITION BY study_id, individual_id ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seg FROM steps")

@@ -277,11 +277,11 @@ def _(spark, d):
 
 @query("season_contrast", f"""WITH {SEASONS}, c AS (SELECT o_custkey, coalesce(sum(o_totalprice) FILTER (season = 'spring'), 0) AS sa, count(*) FILTER (season = 'spring') AS na, coalesce(sum(o_totalprice) FILTER (season = 'winter'), 0) AS sb, count(*) FILTER (season = 'winter') AS nb FROM o GROUP BY 1),
 k AS (SELECT *, row_number() OVER (ORDER BY o_custkey) - 1 AS k, count(*) OVER () AS n FROM c),
-p AS (SELECT i, ('0x' || md5(i || ':' || k || ':5')[1:12])::BIGINT % n AS k FROM k, range(200) r(i)),
+p AS (SELECT i, ('0x' || md5(i || ':' || k || ':5')[1:12])::BIGINT % n AS k FROM k, range(4000) r(i)),
 r AS (SELECT i, sum(sa) / greatest(sum(na), 1) - sum(sb) / greatest(sum(nb), 1) AS r FROM p JOIN k USING (k) GROUP BY i)
 SELECT round(avg(r), 3) AS mean, round(quantile_cont(r, 0.025), 3) AS lo, round(quantile_cont(r, 0.975), 3) AS hi, count(*) AS draws FROM r""")
 def _(spark, d):
-    return rounded(studies.contrast(seasons(spark, d), "o_custkey", "season", "o_totalprice", "spring", "winter", 200), 3, "mean", "lo", "hi")
+    return rounded(studies.contrast(seasons(spark, d), "o_custkey", "season", "o_totalprice", "spring", "winter", 4000), 3, "mean", "lo", "hi")
 
 
 @query("best_trial", "SELECT l_returnflag, l_linestatus, arg_min(l_orderkey, (l_extendedprice, l_orderkey)) AS trial, min(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2")
