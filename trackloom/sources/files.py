@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import csv
 import json
-import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trackloom.sources import store
+
 #: States that a ledger row may have.
 STATUSES = ("pending", "submitted", "running", "complete", "failed")
 
@@ -18,8 +19,7 @@ def read_strict(spark: SparkSession, path: str, columns: dict[str, str], repeate
 
     columns: file's name of timestamp, individual_id, study_id, lon and lat.
     """
-    with open(path, newline="", encoding="utf-8-sig") as f:
-        header = next(csv.reader(f))
+    header = next(csv.reader([store.first_line(spark, path)]), [])
     names, seen = [], {}
     for h in header:
         seen[h] = seen.get(h, -1) + 1
@@ -27,10 +27,11 @@ def read_strict(spark: SparkSession, path: str, columns: dict[str, str], repeate
     if odd := {h for h, k in seen.items() if k and h not in repeated}:
         raise ValueError(f"{path} repeats columns {sorted(odd)}")
     raw = spark.read.csv(path, header=True, schema=", ".join(f"`{n}` string" for n in names), enforceSchema=True)
-    for h, k in seen.items():
-        for i in range(1, k + 1):
-            if bad := raw.where(~F.col(f"`{h}`").eqNullSafe(F.col(f"`{h}.{i}`"))).limit(3).collect():
-                raise ValueError(f"{path}: columns {h} disagree, first in {[r[h] for r in bad]}")
+    pairs = [(h, f"{h}.{i}") for h, k in seen.items() for i in range(1, k + 1)]
+    odd = [F.count_if(~F.col(f"`{a}`").eqNullSafe(F.col(f"`{b}`"))) for a, b in pairs]
+    for (h, _), n in zip(pairs, raw.agg(*odd).first() if odd else (), strict=True):
+        if n:
+            raise ValueError(f"{path}: columns {h} disagree in {n} rows")
     if missing := [c for c in columns.values() if c not in seen]:
         raise ValueError(f"{path} lacks columns {missing}")
     at = {k: F.col(f"`{v}`") for k, v in columns.items()}
@@ -71,14 +72,14 @@ def write_split(split: DataFrame, path: str, cuts: DataFrame | None = None) -> N
     out = {s: ids.get(s, []) for s in ("train", "val", "test")}
     if cuts is not None:
         out["val_cut"] = {r[0]: r[1] for r in cuts.select("individual_id", F.date_format("val_cut", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).collect()}
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(out, f, indent=1)
+    store.write_text(split.sparkSession, path, json.dumps(out, indent=1))
 
 
-def read_split(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
-    """individual_id, split. An id in two splits, or one that the data lacks, raises."""
-    with open(path, encoding="utf-8") as f:
-        said = json.load(f)
+def read_split(spark: SparkSession, path: str, known: DataFrame, tail: bool | None = None) -> DataFrame:
+    """individual_id, split. An id in two splits, or one that the data lacks, raises; with tail, so do cut times that stand where validation isn't by tail, or lack where it is."""
+    said = json.loads(store.read_text(spark, path))
+    if tail is not None and tail != bool(said.get("val_cut")):
+        raise ValueError(f"{path} {'lacks' if tail else 'has'} cut times of a validation by tail")
     rows = [(i, s) for s in ("train", "val", "test") for i in said.get(s, [])]
     out = spark.createDataFrame(rows, "individual_id string, split string")
     if twice := out.groupBy("individual_id").count().where("count > 1").limit(3).collect():
@@ -90,14 +91,12 @@ def read_split(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
 
 def write_scaler(scales: DataFrame, columns: list[str], path: str, limit: float | None = None) -> None:
     row = scales.first()
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({"columns": columns, "mean": [row[f"{c}_mean"] for c in columns], "std": [row[f"{c}_std"] for c in columns], "clip": limit}, f)
+    store.write_text(scales.sparkSession, path, json.dumps({"columns": columns, "mean": [row[f"{c}_mean"] for c in columns], "std": [row[f"{c}_std"] for c in columns], "clip": limit}))
 
 
 def read_scaler(spark: SparkSession, columns: list[str], path: str) -> DataFrame:
     """The one row that scaler() gave; other columns or another order raise."""
-    with open(path, encoding="utf-8") as f:
-        said = json.load(f)
+    said = json.loads(store.read_text(spark, path))
     if said["columns"] != columns:
         raise ValueError(f"the scaler is for {said['columns']}, not {columns}")
     pairs = [(f"{c}_{k}", float(v)) for k in ("mean", "std") for c, v in zip(columns, said[k], strict=True)]
@@ -113,14 +112,20 @@ def read_runs(spark: SparkSession, paths: list[str]) -> DataFrame:
     return x.withColumn("__k", F.row_number().over(Window.partitionBy("unit", "arm").orderBy(F.desc("run")))).where("__k = 1").drop("__k")
 
 
+def six_digits(c: str) -> Column:
+    """A float to six significant digits."""
+    return F.format_string("%.5e", F.col(c).cast("double")).try_cast("double")
+
+
 def write_wide(wide: DataFrame, path: str, order: list[str], most: int = 200) -> bool:
-    """A wide table as CSV files in a total order (part files in sequence); tells whether it is wider than `most`."""
-    wide.orderBy(*order).write.mode("overwrite").csv(path, header=True)
+    """A wide table as CSV files in a total order (part files in sequence), floats to six digits; tells whether it is wider than `most`."""
+    floats = {c: F.when(F.col(c).isNotNull(), six_digits(c)) for c, t in wide.dtypes if t in ("float", "double")}
+    wide.orderBy(*order).withColumns(floats).write.mode("overwrite").csv(path, header=True)
     return len(wide.columns) > most
 
 
 def load_or_build(spark: SparkSession, path: str, build, rebuild: bool = False) -> DataFrame:
     """The table at a path, built and written first where it is absent or to be rebuilt."""
-    if rebuild or not os.path.exists(os.path.join(path.removeprefix("file://"), "_SUCCESS")):
+    if rebuild or not store.exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
