@@ -109,10 +109,12 @@ def test_configs_hash_in_any_order(spark):
     assert x.select(F.sha2(F.lit('{"arm":"a","lr":1,"note":null}'), 256)).first() == x.select(trials.config_hash(["lr", "arm", "note"])).first()
 
 
-def test_bootstrap_brackets_the_mean(spark):
+def test_bootstrap_brackets_the_mean(spark, monkeypatch):
     x = spark.createDataFrame([(k % 40, float(k % 7)) for k in range(2000)], "c long, v double")
     r = studies.bootstrap(x, "c", "v", 500).first()
     assert r["lo"] < 3.0 < r["hi"] and r["draws"] == 500
+    monkeypatch.setattr(studies, "BROADCAST_CLUSTERS", 5)
+    assert studies.bootstrap(x, "c", "v", 500).first() == r
 
 
 def test_median_interval_is_exact(spark):

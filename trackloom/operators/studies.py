@@ -34,15 +34,25 @@ def with_totals(scores: DataFrame, by: str, value: str) -> DataFrame:
     return scores.rollup(by).agg(F.avg(value).alias("mean"), F.count("*").alias("n"), F.grouping(by).alias("g")).select(F.when(F.col("g") == 1, "all").otherwise(F.col(by)).alias(by), "mean", "n")
 
 
-def draws_of(clusters: DataFrame, draws: int, seed: str) -> DataFrame:
-    """i, k, times: how often resample i takes the cluster numbered k of n.
+#: Clusters whose sums a broadcast may hold.
+BROADCAST_CLUSTERS = 1_000_000
 
-    Draw j of resample i takes the number that a digest of i, j and the seed gives, so a resample is a
-    multiset of numbers, and clusters aren't joined with each other.
+
+def resampled(clusters: DataFrame, draws: int, seed: str, sums: tuple[str, ...]) -> DataFrame:
+    """i and the sums of the clusters that resample i takes, from clusters numbered k of n.
+
+    Draw j of resample i takes the number that a digest of i, j and the seed gives, so clusters aren't
+    joined with each other. Up to BROADCAST_CLUSTERS, which are counted, draws meet the sums in place
+    and only sums are shuffled; beyond, drawn numbers are counted first.
     """
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", "i", "k", F.lit(seed))), 1, 12), 16, 10).cast("long") % F.col("n")
     spread = clusters.select("k", "n").repartition(clusters.sparkSession.sparkContext.defaultParallelism, "k")  # a few rows become many draws
-    return spread.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).groupBy("i", pick.alias("k")).agg(F.count("*").alias("times"))
+    drawn = spread.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select("i", pick.alias("k"))
+    held = clusters.select("k", *sums)
+    if clusters.count() <= BROADCAST_CLUSTERS:
+        return drawn.join(F.broadcast(held), "k").groupBy("i").agg(*(F.sum(c).alias(c) for c in sums))
+    times = drawn.groupBy("i", "k").agg(F.count("*").alias("times"))
+    return times.join(held, "k").groupBy("i").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in sums))
 
 
 def numbered_clusters(c: DataFrame, cluster: str) -> DataFrame:
@@ -54,7 +64,7 @@ def numbered_clusters(c: DataFrame, cluster: str) -> DataFrame:
 def bootstrap(scores: DataFrame, cluster: str, value: str, draws: int, seed: str = "5") -> DataFrame:
     """Cluster bootstrap of a mean: the 2.5 and 97.5 percentiles of ratios of sums over clusters drawn with replacement."""
     c = numbered_clusters(scores.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("m")), cluster)
-    ratios = draws_of(c, draws, seed).join(c.drop("n"), "k").groupBy("i").agg((F.sum(F.col("s") * F.col("times")) / F.greatest(F.sum(F.col("m") * F.col("times")), F.lit(1))).alias("r"))
+    ratios = resampled(c, draws, seed, ("s", "m")).select((F.col("s") / F.greatest("m", F.lit(1))).alias("r"))
     return ratios.agg(F.percentile("r", F.lit(0.025)).alias("lo"), F.percentile("r", F.lit(0.975)).alias("hi"), F.count("*").alias("draws"))
 
 
@@ -83,8 +93,7 @@ def contrast(scores: DataFrame, cluster: str, season: str, value: str, a: str, b
     (sa, na), (sb, nb) = one(a), one(b)
     c = scores.groupBy(cluster).agg(F.coalesce(sa, F.lit(0.0)).alias("sa"), na.alias("na"), F.coalesce(sb, F.lit(0.0)).alias("sb"), nb.alias("nb"))
     c = numbered_clusters(c, cluster)
-    drawn = draws_of(c, draws, seed)
-    sums = drawn.join(c.drop("n"), "k").groupBy("i").agg(*(F.sum(F.col(s) * F.col("times")).alias(s) for s in ("sa", "na", "sb", "nb")))
+    sums = resampled(c, draws, seed, ("sa", "na", "sb", "nb"))
     r = sums.select((F.col("sa") / F.greatest("na", F.lit(1)) - F.col("sb") / F.greatest("nb", F.lit(1))).alias("r"))
     return r.agg(F.avg("r").alias("mean"), F.percentile("r", F.lit(0.025)).alias("lo"), F.percentile("r", F.lit(0.975)).alias("hi"), F.count("*").alias("draws"))
 
