@@ -273,6 +273,47 @@ def test_substring_dedup_of_a_passage_whose_neighbours_agree_for_a_few_bytes(spa
         assert (got[k]["n_removed"], bytes(got[k]["kept"])) == (int(cover.sum()), bytes(x for x, c in zip(b, cover, strict=True) if not c))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_groups_around_an_anchor_are_the_maximal_repeats(seed):
+    """Against all pairs of extents: members that share them, no more on either side."""
+    r = np.random.default_rng(seed)
+    left, right = (["".join(r.choice(list("ab"), size=r.integers(0, 7))).encode() for _ in range(14)] for _ in range(2))
+    keep = [k for k in range(14) if (left[k], right[k]) not in list(zip(left, right, strict=True))[:k]]
+    left, right = [left[k] for k in keep], [right[k] for k in keep]
+    want = set()
+    for e in range(7):
+        for size in range(1, 7):
+            if e + size < 4:
+                continue
+            by = defaultdict(list)
+            for k, (a, b) in enumerate(zip(left, right, strict=True)):
+                if len(a) >= e and len(b) >= size:
+                    by[a[:e], b[:size]].append(k)
+            for members in by.values():
+                if len(members) > 1 and len({left[k][e : e + 1] or k for k in members}) > 1 and len({right[k][size : size + 1] or k for k in members}) > 1:
+                    want.add((e, size, tuple(members)))
+    assert {(e, size, tuple(sorted(m))) for e, size, m in substring_dedup.repeat_groups_of(left, right, 4)} == want
+
+
+def test_repeat_groups_have_all_their_occurrences(spark):
+    a, b = prose(80, 99), prose(90, 98)
+    texts = [prose(30, 1) + a, prose(25, 2) + a + "!" + b, "x" + b + prose(20, 3), a[:430] + "?" + prose(20, 4), prose(300, 5)]
+    x = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    groups = defaultdict(set)
+    for r in substring_dedup.repeat_groups(x).collect():
+        groups[r["gram"], r["number"], r["length"]].add((r["row"], r["start"]))
+    cover, held = defaultdict(set), set()
+    for (_, _, n), places in groups.items():
+        same = {texts[row].encode()[start : start + n] for row, start in places}
+        assert n >= 400 and len(places) > 1 and len(same) == 1
+        held.add(frozenset(row for row, _ in places))
+        for row, start in places:
+            cover[row] |= set(range(start, start + n))
+    assert frozenset({0, 1, 3}) in held and frozenset({1, 2}) in held
+    got = by_id(substring_dedup.substring_dedup(x.withColumn("doc_id", F.col("row"))))
+    assert {k: len(cover[k]) for k in range(5)} == {k: r["n_removed"] for k, r in got.items()}
+
+
 # ---- mixing ----------------------------------------------------------------
 
 

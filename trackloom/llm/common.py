@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy kernels hold at a time (a longer document is held alone).
 CHUNK_BYTES = 1 << 18
-#: Rows that go to a Python worker at a time.
-BATCH_ROWS = 1000
+#: Rows and bytes that go to a Python worker at a time (a longer text goes alone).
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Rows of a few numbers that a broadcast may hold.
 BROADCAST_ROWS = 2_000_000
 
@@ -45,11 +45,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 def settle(spark: SparkSession) -> None:
     """Session settings of the corpus operators, which stay on.
 
-    Batches of BATCH_ROWS bound what the JVM and its Python workers hold. Shuffle files go when the
+    Batches of BATCH_ROWS and BATCH_BYTES bound what the JVM and its Python workers hold. Shuffle files go when the
     query that made them ends: nothing goes back to them, as tables in the shared folder cut the
     lineage (a query that does makes them anew).
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 

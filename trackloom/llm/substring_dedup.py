@@ -8,9 +8,9 @@
    that a window with the anchor can reach. Equal contexts of a gram are collapsed.
 3. The contexts of a gram are sorted by their suffix from the anchor on, with longest common
    prefixes. A stack scan gives the tree of common-prefix intervals. In each interval the members
-   are put in order of the text left of the anchor, read backwards: neighbours show how far a member
-   extends to the left together with another one, and whether the interval is left-diverse, that is
-   a maximal repeat. Where left and right extent make up LENGTH, the member's bytes repeat.
+   are put in order of the text left of the anchor, read backwards, and a second scan gives those
+   that share a left extent. Groups that are diverse on both sides are the maximal repeats; where
+   left and right extent make up LENGTH, the bytes of all their members repeat.
    A gram with over GROUP contexts is first divided by what its windows contain; see _large().
 """
 
@@ -167,69 +167,103 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((now, first))
 
 
-def repeats(left: list[bytes], right: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, list[tuple[int, int]], bool]]:
-    """Intervals with repeats of `length`: right extent, (member, left extent) of all that repeat, is it left-diverse."""
+def repeat_groups_of(left: list[bytes], right: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, int, list[int]]]:
+    """Maximal repeats of `length` or more around one anchor: left extent, right extent, all members that share them.
+
+    left: texts before the anchor, backwards; right: from the anchor on. For each interval of the right
+    suffixes, a second stack scan over its members in left order gives those that share a left extent
+    too. A group is left-diverse by its interval of that scan; it is right-diverse, and so maximal, if
+    its members lie in several children of the right interval.
+    """
     order = sorted(range(len(right)), key=right.__getitem__)
     lcp = [0] + [common(right[a], right[b]) for a, b in zip(order, order[1:], strict=False)]
     back = sorted(range(len(left)), key=left.__getitem__)
-    place = [0] * len(left)
+    place, rank = [0] * len(left), [0] * len(left)
     for k, i in enumerate(back):
         place[i] = k
+    for k, i in enumerate(order):
+        rank[i] = k
     for size, first, last in intervals(lcp):
         members = sorted(order[first : last + 1], key=place.__getitem__)
-        ext = [common(left[a], left[b]) for a, b in zip(members, members[1:], strict=False)]
-        got = []
-        for k, i in enumerate(members):
-            e = max(ext[k - 1] if k else 0, ext[k] if k < len(ext) else 0)
+        ext = [0] + [common(left[a], left[b]) for a, b in zip(members, members[1:], strict=False)]
+        if max(ext) + size < length:
+            continue
+        child = [0] * (last - first + 1)
+        for k in range(1, last - first + 1):
+            child[k] = child[k - 1] + (lcp[first + k] == size)
+        found = list(intervals(ext))
+        if min(ext[1:]) == 0:  # what all members share ends at the anchor
+            found.append((0, 0, len(members) - 1))
+        for e, a, b in found:
             if e + size >= length:
-                got.append((i, e))
-        if got:
-            yield size, got, min(ext) == 0
+                in_child = [child[rank[i] - first] for i in members[a : b + 1]]
+                if min(in_child) != max(in_child):
+                    yield e, size, members[a : b + 1]
 
 
 def extents(left: list[bytes], right: list[bytes], counts: list[int], length: int = LENGTH) -> list[tuple[int, int]]:
     """How far each context repeats to the left and right of its anchor; (0, 0): no `length` bytes repeat."""
     out = [(len(a), len(b)) if n > 1 else (0, 0) for a, b, n in zip(left, right, counts, strict=True)]
-    if len(left) == 2:  # the tree of two leaves
-        a, b = common(left[0], left[1]), common(right[0], right[1])
-        if a + b >= length:
-            out = [(max(x, a), max(y, b)) for x, y in out]
-    elif len(left) > 2:
-        for size, got, _ in repeats(left, right, length):
-            for i, e in got:
-                out[i] = (max(out[i][0], e), max(out[i][1], size))
+    for e, size, members in repeat_groups_of(left, right, length):
+        for i in members:
+            out[i] = (max(out[i][0], e), max(out[i][1], size))
     return out
 
 
+def _settled(rows_of):
+    """Rows sorted by gram -> rows_of(gram, keys, contexts) of each gram with repeats, as long columns."""
+
+    def run(batches, names):
+        gram, group, done = None, {}, []
+
+        def batch():
+            cols = list(zip(*done, strict=True)) if done else [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+
+        def flush():
+            items = list(group.values())
+            if len(items) > 1 or items and items[0][2] > 1:
+                done.extend(rows_of(gram, list(group), items))
+
+        for part in batches:
+            for g, c1, c2, n, a, b in zip(*(part.column(c).to_pylist() for c in range(6)), strict=True):
+                if g != gram:
+                    flush()
+                    gram, group = g, {}
+                if (c1, c2) in group:
+                    group[c1, c2][2] += n
+                else:
+                    group[c1, c2] = [a, b, n]
+            if len(done) > 2000:
+                yield batch()
+                done.clear()
+        flush()
+        yield batch()
+
+    return run
+
+
 def _settle(batches):
     """Rows sorted by gram -> (gram, c1, c2, left extent, right extent) of contexts that repeat."""
-    gram, group, done = None, {}, []
-
-    def flush():
-        items = list(group.values())
-        if len(items) > 1 or items and items[0][2] > 1:
-            for (c1, c2), (a, b) in zip(group, extents([x[0] for x in items], [x[1] for x in items], [x[2] for x in items]), strict=True):
-                if b:
-                    done.append((gram, c1, c2, a, b))
-
-    def batch_of(rows):
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["gram", "c1", "c2", "l", "r"])
-
-    for batch in batches:
-        for g, c1, c2, n, a, b in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
-            if g != gram:
-                flush()
-                gram, group = g, {}
-            if (c1, c2) in group:
-                group[c1, c2][2] += n
-            else:
-                group[c1, c2] = [a, b, n]
-        if len(done) > 2000:
-            yield batch_of(done)
-            done.clear()
-    flush()
-    yield batch_of(done)
+
+    def rows_of(gram, keys, items):
+        found = extents(*(list(x) for x in zip(*items, strict=True)))
+        return [(gram, *key, a, b) for key, (a, b) in zip(keys, found, strict=True) if b]
+
+    return _settled(rows_of)(batches, ["gram", "c1", "c2", "l", "r"])
+
+
+def _grouped(batches):
+    """Rows sorted by gram -> (gram, number, c1, c2, left extent, right extent): the contexts of each maximal repeat."""
+
+    def rows_of(gram, keys, items):
+        left, right, counts = (list(x) for x in zip(*items, strict=True))
+        every = list(repeat_groups_of(left, right))
+        # A context that stands in several places repeats as a whole.
+        every += [(len(left[i]), len(right[i]), [i]) for i, n in enumerate(counts) if n > 1 and len(left[i]) + len(right[i]) >= LENGTH]
+        return [(gram, k, *keys[i], e, size) for k, (e, size, members) in enumerate(every) for i in members]
+
+    return _settled(rows_of)(batches, ["gram", "number", "c1", "c2", "l", "r"])
 
 
 def _classes(width: int):
@@ -292,8 +326,8 @@ def _large(held: DataFrame) -> DataFrame:
     return out.groupBy("gram", "c1", "c2").agg(F.max("l").alias("l"), F.max("r").alias("r"))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """row, starts, ends: byte ranges of documents (row, text) covered by repeats of LENGTH bytes; ranges may overlap."""
+def _contexts_of(docs: DataFrame) -> DataFrame:
+    """The written contexts of all anchors whose gram occurs at another one. docs: row, text."""
     at = materialize(anchor_table(docs), "anchors")
     # Written out, so that both sides of the join are plain exchanges and Spark can split a hot gram.
     twice = materialize(at.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "grams")
@@ -302,6 +336,25 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = docs.join(places, "row").select("row", F.col("text").cast("binary").alias("text"), F.col("x.gram").alias("grams"), F.col("x.pos").alias("places"))
     ctx = materialize(contexts(found), "contexts", "zstd")
     discard(at, twice)
+    return ctx
+
+
+def repeat_groups(docs: DataFrame) -> DataFrame:
+    """Maximal repeats of LENGTH bytes or more, with all occurrences: gram, number, length, row, start. docs: row, text.
+
+    (gram, number) names a group; its occurrences hold the same bytes, and differ before and after
+    them, as far as windows of LENGTH bytes around the anchor reach: a longer repeat is a chain of
+    overlapping groups. A gram's contexts are put in order in one task.
+    """
+    ctx = _contexts_of(docs)
+    held = ctx.where("n is not null").select("gram", "c1", "c2", "n", "left", "right")
+    groups = held.repartition("gram").sortWithinPartitions("gram").mapInArrow(_grouped, "gram long, number long, c1 long, c2 long, l long, r long")
+    return ctx.select("gram", "c1", "c2", "row", "pos").join(groups, ["gram", "c1", "c2"]).select("gram", "number", (F.col("l") + F.col("r")).alias("length"), "row", (F.col("pos") - F.col("l")).alias("start"))
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """row, starts, ends: byte ranges of documents (row, text) covered by repeats of LENGTH bytes; ranges may overlap."""
+    ctx = _contexts_of(docs)
     held = ctx.where("n is not null").select("gram", "c1", "c2", "n", "left", "right")
     sizes = ctx.where("n is not null").groupBy("gram").agg(F.count("*").alias("m"))
     big = materialize(sizes.where(F.col("m") > GROUP).select("gram"), "big")
