@@ -19,10 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import settle
-from trackloom.llm.word_pieces import Memo, byte_chars, latin, cuts, parts, pre_tokens, spec, words_in
+from trackloom.llm.word_pieces import END, Memo, byte_chars, cuts, latin, parts, pre_tokens, spec, words_in
 
 ARC_ENTRIES = 250_000
-END = "</w>"
 
 
 class MergeAutomaton:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import materialize, scratch
-from trackloom.llm.word_pieces import Memo, cuts, latin, library, parts
+from trackloom.llm.word_pieces import END, Memo, cuts, latin, library, parts, spec, words_in
 
 BLOCK = 1 << 15
 #: Ids after which a shard is closed; a document is never split.
@@ -133,19 +133,32 @@ class Encoder:
     def __init__(self, path: str):
         self.lib = library(path)
         self.memo = Memo(self._one, MEMO)
+        vocab = spec(path)[0]
+        #: By id: does it end a word?
+        self.last = np.zeros(self.lib.get_vocab_size(with_added_tokens=True), bool)
+        self.last[[i for t, i in vocab.items() if t.endswith(END)]] = True
 
     def _one(self, cut: str) -> bytes:
         return np.array(self.lib.encode(cut, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _many(self, cuts: list[str]) -> list[bytes]:
+        """_one() of each, by one call of the library: words end where an id ends one, and a cut's words are counted."""
+        ids = np.array(self.lib.encode(" ".join(cuts), add_special_tokens=False).ids, "<u4")
+        stops = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1])
+        counts = np.cumsum([0, *map(len, map(words_in, cuts))])
+        if counts[-1] != len(stops) - 1:
+            return [self._one(c) for c in cuts]
+        at, raw = (stops[counts] * 4).tolist(), ids.tobytes()
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         split = [[(s or not latin(p), p if s or not latin(p) else cuts(p)) for s, p in parts(t)] for t in texts]
         memo = self.memo
         new = list({c for t in split for whole, p in t if not whole for c in p if c not in memo and c not in memo.old})
         for k in range(0, len(new), 2000):
-            got = self.lib.encode_batch_fast(new[k : k + 2000], add_special_tokens=False)
-            for c, e in zip(new[k : k + 2000], got, strict=True):
-                memo.put(c, np.array(e.ids, "<u4").tobytes())
+            for c, b in zip(new[k : k + 2000], self._many(new[k : k + 2000]), strict=True):
+                memo.put(c, b)
         out = []
         for t in split:
             b = b"".join([self._one(p) if whole else b"".join(map(memo.__getitem__, p)) for whole, p in t])
@@ -174,8 +187,7 @@ def write_token_shards(docs: DataFrame, root: str, path: str | None = None, end_
     path = path or default_path()
     fs, at = pafs.FileSystem.from_uri(root)
     fs.create_dir(at, recursive=True)
-    spec = library(path)
-    bits = max(1, int(max(spec.get_vocab_size(with_added_tokens=True) - 1, end_id)).bit_length())
+    bits = max(1, int(max(library(path).get_vocab_size(with_added_tokens=True) - 1, end_id)).bit_length())
     tail = np.array([end_id], np.uint32)
 
     def run(batches):

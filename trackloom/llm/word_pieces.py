@@ -19,6 +19,8 @@ import regex
 MEMO_ENTRIES = 150_000
 #: A cut longer than this isn't kept in the memo.
 MEMO_CHARS = 64
+#: The mark of a label that ends a word.
+END = "</w>"
 SPECIAL = regex.compile(r"<\|startoftext\|>|<\|endoftext\|>")
 # The split pattern and special tokens of word_bpe_49k.json.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
