@@ -86,6 +86,21 @@ def standardise(rows: DataFrame, scales: DataFrame, columns: list[str], limit: f
     return x.drop(*scales.columns)
 
 
+def unscaled(rows: DataFrame, scales: DataFrame, columns: list[str]) -> DataFrame:
+    """Z scores back to values by the one row of scaler()."""
+    x = rows.crossJoin(F.broadcast(scales))  # one row
+    return x.withColumns({c: F.col(c) * F.col(f"{c}_std") + F.col(f"{c}_mean") for c in columns}).drop(*scales.columns)
+
+
+def change_scales(changed: DataFrame) -> DataFrame:
+    """One row: population deviations of what changes() observed; 1 where there is none or next to none."""
+    def std(c, gone):
+        s = F.coalesce(F.stddev_pop(F.when(~F.col(gone), F.col(c))), F.lit(0.0))
+        return F.when(s > 1e-8, s).otherwise(1.0).alias(f"{c}_std")
+
+    return changed.agg(std("anomaly", "anomaly_missing"), std("step_change", "step_missing"))
+
+
 def select_columns(names: list[str], include: list[str], exclude: list[str]) -> list[str]:
     """Names that some include pattern and no exclude pattern is found in."""
     return [n for n in names if any(re.search(p, n) for p in include) and not any(re.search(p, n) for p in exclude)]

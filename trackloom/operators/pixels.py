@@ -66,3 +66,16 @@ def last_wins(log: DataFrame, key: str, ordinal: str) -> DataFrame:
 def open_chunks(chunks: DataFrame, log: DataFrame, key: str, settled: tuple[str, ...]) -> DataFrame:
     """Chunks that the log doesn't show as settled."""
     return chunks.join(log.where(F.col("status").isin(*settled)).select(key), key, "left_anti")
+
+
+def status_counts(log: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
+    """Rows of each status, 0 for those of `statuses` that the log lacks."""
+    zero = log.sparkSession.createDataFrame([(s, 0) for s in statuses], "status string, n long")
+    return log.groupBy("status").agg(F.count("*").alias("n")).unionByName(zero).groupBy("status").agg(F.sum("n").alias("n"))
+
+
+def plan_summary(snapped: DataFrame, buckets: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row: reduction() with the number of time buckets, of chunks, and the mean keys of a chunk."""
+    b = buckets.agg(F.count_distinct("bucket").alias("buckets"))
+    c = chunks.agg(F.count("*").alias("chunks"), F.coalesce(F.avg("n_keys"), F.lit(0.0)).alias("mean_features"))
+    return reduction(snapped).crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))  # one row each

@@ -87,7 +87,7 @@ def displacements(windows: DataFrame, length: int) -> DataFrame:
     out = windows.withColumn("o", F.col("window")[length - 1]).select(*ANIMAL, "seg", "start", "t_target", "o", F.posexplode("window").alias("pos", "p"))
     x, y = geo.local_xy(F.col("p.lat"), F.col("p.lon"), F.col("o.lat"), F.col("o.lon"))
     w = Window.partitionBy(*ANIMAL, "seg", "start").orderBy("pos")
-    out = out.withColumn("x", x).withColumn("y", y)
+    out = out.withColumn("x", x).withColumn("y", y).withColumn("timestamp", F.col("p.timestamp"))
     return out.withColumn("dx", F.coalesce(F.col("x") - F.lag("x").over(w), F.lit(0.0))).withColumn("dy", F.coalesce(F.col("y") - F.lag("y").over(w), F.lit(0.0))).drop("o", "p")
 
 
@@ -145,16 +145,45 @@ def tail_cuts(fixes: DataFrame, share: float) -> DataFrame:
     return x.where(F.col("k") == F.least(F.col("n") - 1, F.floor((1 - share) * F.col("n")))).select(*ANIMAL, F.col("timestamp").alias("val_cut"), "n")
 
 
+def dealt(units: DataFrame, name, val: float, test: float, seed: str) -> DataFrame:
+    """Units of each study dealt to train, val and test (split) in the order of a seeded digest of their name; under 3 units: train."""
+    by = Window.partitionBy("study_id")
+    a = units.withColumn("__k", F.row_number().over(by.orderBy(F.sha2(F.concat(name, F.lit(":" + seed)), 256), name))).withColumn("__n", F.count("*").over(by))
+    n = F.col("__n")
+    a = a.withColumn("__val", F.greatest(F.lit(1), F.least(F.bround(n * val), n - 2)))
+    a = a.withColumn("__test", F.greatest(F.lit(1), F.least(F.bround(n * test), n - F.col("__val") - 1)))
+    split = F.when(n < 3, "train").when(F.col("__k") <= F.col("__val"), "val").when(F.col("__k") <= F.col("__val") + F.col("__test"), "test").otherwise("train")
+    return a.withColumn("split", split).drop("__k", "__n", "__val", "__test")
+
+
 def split_animals(fixes: DataFrame, val: float, test: float, seed: str = "7") -> DataFrame:
-    """Animals of each study dealt to train, val and test in the order of a seeded digest; under 3 animals: train."""
-    a = fixes.select(*ANIMAL).distinct()
-    a = a.withColumn("k", F.row_number().over(Window.partitionBy("study_id").orderBy(F.sha2(F.concat("individual_id", F.lit(":" + seed)), 256), "individual_id")))
-    a = a.withColumn("n", F.count("*").over(Window.partitionBy("study_id")))
-    n_val = F.greatest(F.lit(1), F.least(F.bround(F.col("n") * val), F.col("n") - 2))
-    a = a.withColumn("n_val", n_val)
-    a = a.withColumn("n_test", F.greatest(F.lit(1), F.least(F.bround(F.col("n") * test), F.col("n") - F.col("n_val") - 1)))
-    split = F.when(F.col("n") < 3, "train").when(F.col("k") <= F.col("n_val"), "val").when(F.col("k") <= F.col("n_val") + F.col("n_test"), "test").otherwise("train")
-    return a.select(*ANIMAL, split.alias("split"))
+    """Animals dealt to splits, so that no animal is in two."""
+    return dealt(fixes.select(*ANIMAL).distinct(), F.col("individual_id"), val, test, seed)
+
+
+def split_segments(segmented: DataFrame, val: float, test: float, seed: str = "7") -> DataFrame:
+    """Segments dealt to splits on their own: an animal may be in several, so scores on these splits leak."""
+    units = segmented.select(*ANIMAL, "seg").distinct()
+    return dealt(units, F.concat_ws("/", "individual_id", F.col("seg").cast("string")), val, test, seed)
+
+
+def follow(segmented: DataFrame, split: DataFrame) -> DataFrame:
+    """Every fix with the split of its animal; animals without one go."""
+    return segmented.join(split.select(*ANIMAL, "split"), list(ANIMAL))
+
+
+def overlaps(members: DataFrame) -> DataFrame:
+    """One row: animals that stand in both of two splits, for each two. All 0 where splits are disjoint."""
+    has = [F.max((F.col("split") == s).cast("int")).alias(s) for s in ("train", "val", "test")]
+    both = lambda a, b: F.coalesce(F.sum(F.col(a) * F.col(b)), F.lit(0)).cast("long").alias(f"{a}_{b}")
+    return members.groupBy(*ANIMAL).agg(*has).agg(both("train", "val"), both("train", "test"), both("val", "test"))
+
+
+def check_disjoint(members: DataFrame, tail: bool = False) -> None:
+    """Raises where an animal is in two splits; with validation by tail, train and val share their animals."""
+    found = {k: n for k, n in overlaps(members).first().asDict().items() if n and not (tail and k == "train_val")}
+    if found:
+        raise ValueError(f"animals in two splits: {found}")
 
 
 def profile(fixes: DataFrame) -> DataFrame:

@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from trackloom.plans import catalogue, forecasts, products  # noqa: E402, F401  registers the queries
+from trackloom.plans import catalogue, forecasts, products, assembly  # noqa: E402, F401  registers the queries
