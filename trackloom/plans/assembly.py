@@ -63,7 +63,7 @@ DEALT = "SELECT study_id, individual_id, fold FROM (" + ORACLE_SQL["kfold_balanc
 
 @query("kfold_all", f"WITH f AS ({DEALT}) SELECT study_id, individual_id, fold, k, CASE WHEN fold = k THEN 'test' WHEN fold = (k + 1) % 5 THEN 'val' ELSE 'train' END AS role FROM f, range(5) r(k)")
 def _(spark, d):
-    return folds.all_roles(dealt_folds(spark, d), 5).select("study_id", "individual_id", "fold", "k", "role")
+    return folds.all_roles(dealt_folds(spark, d), 5).select("study_id", "individual_id", "fold", F.col("k").cast("long").alias("k"), "role")
 
 
 @query("kfold_tail", f"WITH f AS ({DEALT}), t AS ({ORACLE_SQL['tail_roles']}), e AS (SELECT event_id, 'u' || user_id AS individual_id FROM events) SELECT event_id, CASE WHEN fold = 1 THEN 'test' ELSE t.role END AS role FROM e JOIN f USING (individual_id) JOIN t USING (event_id)")
