@@ -12,13 +12,11 @@ back from positions without one, each at most once. Decoding emits the labels of
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import settle
+from trackloom.llm.common import kept, settle
 from trackloom.llm.word_pieces import END, Memo, byte_chars, cuts, latin, parts, pre_tokens, spec, words_in
 
 ARC_ENTRIES = 250_000
@@ -125,7 +123,7 @@ class MergeAutomaton:
         return path
 
 
-@lru_cache(maxsize=2)
+@kept
 def automaton(path: str) -> MergeAutomaton:
     vocab, merges, _ = spec(path)
     return MergeAutomaton(vocab, merges)
@@ -179,7 +177,7 @@ class Codec:
         return " ".join(names.get(i) or self.machine.label[i] for i in ids)
 
 
-@lru_cache(maxsize=2)
+@kept
 def codec(path: str) -> Codec:
     return Codec(path)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import checked, discard, materialize, mix, numbered, shingles_of, text_chunks, word_hashes, words_of
+from trackloom.llm.common import checked, discard, materialize, mix, numbered, release, shingles_of, text_chunks, word_hashes, words_of
 from trackloom.llm.components import components
 
 #: Linked if 100 * intersection >= PERCENT * union.
@@ -34,6 +34,7 @@ def shingle_sets(docs: DataFrame, row: str = "row") -> DataFrame:
     """row, n, set_hash (two 64-bit halves) and the ascending shingle hashes of every whole text."""
 
     def run(batches):
+        release()
         for batch in batches:
             ids = batch.column(0)
             for i, j, raw, offs in text_chunks(batch.column(1)):
@@ -76,6 +77,7 @@ def prefix_postings(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        release()
         for batch in batches:
             for i, j, raw, offs in text_chunks(batch.column(1)):
                 s, e, d = words_of(raw, offs)
@@ -310,6 +312,7 @@ def _verified(sets: DataFrame, classes: DataFrame) -> DataFrame:
         small, large = small.unionByName(again.join(big.select("class"), "class", "left_anti")), again
 
     def whole(keys, table):
+        release()
         rows = np.asarray(table["row"].combine_chunks())
         order = np.argsort(rows, kind="stable")
         values = table["shingles"].combine_chunks()
@@ -344,6 +347,7 @@ def _blocks(inside: DataFrame) -> DataFrame:
     tasks = x.select("class", "row", "shingles", "slab", "part", F.explode(F.concat(own, up, down)).alias("t")).select("class", "row", "shingles", "slab", "part", "t.*")
 
     def pair(keys, table):
+        release()
         rows = np.asarray(table["row"].combine_chunks())
         order = np.argsort(rows, kind="stable")
         values = table["shingles"].combine_chunks()

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import materialize, scratch
+from trackloom.llm.common import kept, materialize, scratch
 from trackloom.llm.word_pieces import END, Memo, cuts, latin, library, parts, spec, words_in
 
 BLOCK = 1 << 15
@@ -166,7 +165,7 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
+@kept
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 

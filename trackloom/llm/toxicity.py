@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import discard, materialize, mix, settle, text_chunks, word_hashes, words_of
+from trackloom.llm.common import discard, materialize, mix, release, settle, text_chunks, word_hashes, words_of
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hashed doc_id.
 SAMPLE_ROWS = 8_000
@@ -275,6 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         return (mix(np.asarray(place).view(np.uint64)) % np.uint64(97) % np.uint64(PARTS)).astype(np.int64)
 
     def presence(batches):
+        release()
         for batch in batches:
             part, y = part_of(batch.column(0)), np.asarray(batch.column(1))
             for k, h in word_presence(batch.column(2)):
@@ -297,6 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         lexicons.append(learn_lexicon(counts, hashes, y[rest].sum(), len(y[rest]) - y[rest].sum()))
 
     def measured(batches):
+        release()
         for batch in batches:
             for i, j, raw, offs in text_chunks(batch.column(3)):
                 x = np.concatenate([features(raw, offs, lex) for lex in lexicons], 1)
@@ -320,6 +322,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     spec = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers per tree, and 200 words
 
     def run(batches):
+        release()
         m = spec.value
         for batch in batches:
             for i, j, raw, offs in text_chunks(batch.column(k)):  # small batches back, so no side holds many texts

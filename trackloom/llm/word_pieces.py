@@ -15,6 +15,8 @@ from functools import lru_cache
 
 import regex
 
+from trackloom.llm.common import kept
+
 #: Entries of each of the two generations of a worker's memo.
 MEMO_ENTRIES = 150_000
 #: A cut longer than this isn't kept in the memo.
@@ -29,7 +31,7 @@ _SPACE = regex.compile(r"[^\p{White_Space}]+")
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
-@lru_cache(maxsize=2)
+@kept
 def spec(path: str) -> tuple[dict[str, int], list[tuple[str, str]], dict[str, int]]:
     """Vocabulary, merges in order and special tokens of a tokenizer file."""
     with open(path, encoding="utf-8") as f:
@@ -68,7 +70,7 @@ def cuts(text: str) -> list[str]:
     return text.split()
 
 
-@lru_cache(maxsize=2)
+@kept
 def library(path: str):
     """The file as the tokenizers library reads it."""
     from tokenizers import Tokenizer
