@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import kept, materialize, scratch
-from trackloom.llm.word_pieces import END, Memo, cuts, latin, library, parts, spec, words_in
+from trackloom.llm.word_pieces import END, MEMO_CHARS, Memo, cuts, for_cuts, latin, library, parts, spec, words_in
 
 BLOCK = 1 << 15
 #: Ids after which a shard is closed; a document is never split.
@@ -26,6 +26,8 @@ SHARD_IDS = 1 << 22
 END_ID = 2
 #: Cuts in each generation of the memo: about 100 MB in all.
 MEMO = 500_000
+#: Documents that are cut and looked up together.
+DOCS = 256
 _HEADER = struct.Struct("<8sIIQQQQ")  # magic, bits, block, n_docs, n_ids, n_blocks, ids before it in its partition
 _MAGIC = b"TLTOKEN1"
 NO_ID = np.iinfo(np.int64).min
@@ -131,6 +133,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.lib = library(path)
+        self.plain = for_cuts(path)
         self.memo = Memo(self._one, MEMO)
         vocab = spec(path)[0]
         #: By id: does it end a word?
@@ -138,11 +141,14 @@ class Encoder:
         self.last[[i for t, i in vocab.items() if t.endswith(END)]] = True
 
     def _one(self, cut: str) -> bytes:
-        return np.array(self.lib.encode(cut, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.plain.encode(cut, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _whole(self, part: str) -> bytes:
+        return np.array(self.lib.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _many(self, cuts: list[str]) -> list[bytes]:
         """_one() of each, by one call of the library: words end where an id ends one, and a cut's words are counted."""
-        ids = np.array(self.lib.encode(" ".join(cuts), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.plain.encode_batch_fast([" ".join(cuts)], add_special_tokens=False)[0].ids, "<u4")
         stops = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1])
         counts = np.cumsum([0, *map(len, map(words_in, cuts))])
         if counts[-1] != len(stops) - 1:
@@ -150,17 +156,32 @@ class Encoder:
         at, raw = (stops[counts] * 4).tolist(), ids.tobytes()
         return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        split = [[(s or not latin(p), p if s or not latin(p) else cuts(p)) for s, p in parts(t)] for t in texts]
-        memo = self.memo
-        new = list({c for t in split for whole, p in t if not whole for c in p if c not in memo and c not in memo.old})
+    def _ids_of(self, distinct: set[str]) -> dict[str, bytes]:
+        """The ids of each cut: from the memo, or encoded and, if the cut is short, kept in it."""
+        memo, old, new = self.memo, self.memo.old, []
+        out = dict(zip(distinct, map(memo.get, distinct), strict=True))
+        for c in [c for c, b in out.items() if b is None]:
+            b = old.get(c)
+            if b is None:
+                new.append(c)
+            else:
+                out[c] = b
+                memo.put(c, b)
         for k in range(0, len(new), 2000):
             for c, b in zip(new[k : k + 2000], self._many(new[k : k + 2000]), strict=True):
-                memo.put(c, b)
+                out[c] = b
+                if len(c) <= MEMO_CHARS:
+                    memo.put(c, b)
+        return out
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        split = [[(True, p) if s or not latin(p) else (False, cuts(p)) for s, p in parts(t)] for t in texts]
+        # Looked up once for each distinct cut; a batch's own dict is small enough for the CPU's caches.
+        ids = self._ids_of(set().union(*[p for t in split for whole, p in t if not whole]))
         out = []
         for t in split:
-            b = b"".join([self._one(p) if whole else b"".join(map(memo.__getitem__, p)) for whole, p in t])
+            b = b"".join([self._whole(p) if whole else b"".join(map(ids.__getitem__, p)) for whole, p in t])
             out.append(np.frombuffer(b, "<u4"))
         return out
 
@@ -197,8 +218,8 @@ def write_token_shards(docs: DataFrame, root: str, path: str | None = None, end_
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         enc, out = encoder(path), ShardWriter(root, TaskContext.get().partitionId(), bits)
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
+            for k in range(0, batch.num_rows, DOCS):
+                part = batch.slice(k, DOCS)
                 got = enc.batch([t or "" for t in part.column(1).to_pylist()])
                 done = [s for d, ids in zip(part.column(0).to_pylist(), got, strict=True) if (s := out.add(d, np.concatenate([ids, tail])))]
                 if done:

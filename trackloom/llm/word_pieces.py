@@ -81,6 +81,16 @@ def library(path: str):
     return t
 
 
+def for_cuts(path: str):
+    """library() for cuts: the normaliser leaves them as they are, and what reads like a special token in lower case is none."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_str(library(path).to_str())
+    t.normalizer = None
+    t.encode_special_tokens = True
+    return t
+
+
 def pre_tokens(text: str, path: str) -> list[str]:
     """Pre-tokens in byte characters, by the library's own normaliser and pre-tokeniser."""
     t = library(path)
