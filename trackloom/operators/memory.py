@@ -63,11 +63,11 @@ def _nearest(offsets: np.ndarray, tolerance_s: float, names: list[str]):
     return run
 
 
-def nearest_before(origins: DataFrame, fixes: DataFrame, offsets: list[float], tolerance_s: float) -> DataFrame:
+def nearest_before(origins: DataFrame, fixes: DataFrame, offsets: list[float], tolerance_s: float, ordinal: str | None = None) -> DataFrame:
     """A row for each origin and each of the offsets, seconds from its t_last: the fix of the same animal nearest to that time, within the tolerance and not after t_last.
 
     Columns: those of the origin but its animal, n (the offset's place), fix_t, fix_lat, fix_lon. Of equally near fixes
-    the earlier counts, of fixes at one time the first by place; without one all three are null.
+    the earlier counts, of fixes at one time the last by `ordinal`, then the first by place; without one all three are null.
 
     Time is cut in blocks of the farthest offset and the tolerance, so an origin needs the fixes of its block and the one
     before. Both tables are dealt out by animal and block once, before offsets are spread; nothing is broadcast. A task
@@ -79,23 +79,24 @@ def nearest_before(origins: DataFrame, fixes: DataFrame, offsets: list[float], t
     o = origins.select(*ANIMAL, block("t_last").alias("__block"), F.lit(False).alias("__fix"), F.col("t_last").cast("double").alias("__t"), *own)
     f = fixes.dropna(subset=[*ANIMAL, "t"]).select(
         *ANIMAL, F.explode(F.array(block("t"), block("t") + 1)).alias("__block"), F.lit(True).alias("__fix"), F.col("t").cast("double").alias("__t"),
-        F.col("lat").cast("double").alias("__lat"), F.col("lon").cast("double").alias("__lon"),
+        F.col("lat").cast("double").alias("__lat"), F.col("lon").cast("double").alias("__lon"), *([F.col(ordinal).alias("__at")] if ordinal else []),
     )
-    x = o.unionByName(f, allowMissingColumns=True).select(*ANIMAL, "__block", "__fix", "__t", "__lat", "__lon", *own)
-    x = x.repartition(*ANIMAL, "__block").sortWithinPartitions(*ANIMAL, "__block", F.desc("__fix"), "__t", "__lat", "__lon")
+    x = o.unionByName(f, allowMissingColumns=True).repartition(*ANIMAL, "__block")
+    x = x.sortWithinPartitions(*ANIMAL, "__block", F.desc("__fix"), "__t", *([F.desc("__at")] if ordinal else []), "__lat", "__lon")
+    x = x.select(*ANIMAL, "__block", "__fix", "__t", "__lat", "__lon", *own)
     schema = ", ".join([*(f"`{c}` {kind}" for c, kind in origins.select(*own).dtypes), "n int, fix_t double, fix_lat double, fix_lon double"])
     return x.mapInArrow(_nearest(np.array(offsets, float), float(tolerance_s), own), schema)
 
 
-def memory_steps(origins: DataFrame, fixes: DataFrame, horizon: int, dt_s: float, days: int, clip_m: float = 25_000) -> DataFrame:
+def memory_steps(origins: DataFrame, fixes: DataFrame, horizon: int, dt_s: float, days: int, clip_m: float = 25_000, ordinal: str | None = None) -> DataFrame:
     """By origin (event_id, t_last, lat0, lon0) and step k: the place at that time on each of `days` days before.
 
     d1_dx, d1_dy, d1_avail: the day before; mean_dx, mean_dy: over days with a fix; frac: their
     share; spread: root mean square distance from the mean. Coordinates are clipped before all that.
-    event_id tells origins apart; those without it have no fixes.
+    event_id tells origins apart; those without it have no fixes. Of fixes in one second the last by `ordinal` counts.
     """
     offsets = [k * dt_s - d * 86400 for k in range(1, horizon + 1) for d in range(1, days + 1)]
-    x = nearest_before(origins, fixes, offsets, dt_s / 2).withColumns({"k": F.expr(f"cast(n div {days} as int) + 1"), "d": F.expr(f"n % {days} + 1")})
+    x = nearest_before(origins, fixes, offsets, dt_s / 2, ordinal).withColumns({"k": F.expr(f"cast(n div {days} as int) + 1"), "d": F.expr(f"n % {days} + 1")})
     cut = lambda c: F.when(c.isNotNull() & F.col("event_id").isNotNull(), F.least(F.greatest(c, F.lit(-float(clip_m))), F.lit(float(clip_m))))
     dx, dy = geo.local_xy(F.col("fix_lat"), F.col("fix_lon"), F.col("lat0"), F.col("lon0"))
     x = x.select("event_id", "k", "d", cut(dx).alias("x"), cut(dy).alias("y"))
