@@ -8,6 +8,7 @@ A block starts at a byte, so any range of ids can be read with the blocks that h
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -18,16 +19,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import kept, materialize, scratch
-from trackloom.llm.word_pieces import END, MEMO_CHARS, Memo, cuts, for_cuts, latin, library, parts, spec, words_in
+from trackloom.llm.word_pieces import END, LOWER, MEMO_CHARS, Memo, for_words, latin, library, parts, spec, words_at
 
 BLOCK = 1 << 15
 #: Ids after which a shard is closed; a document is never split.
 SHARD_IDS = 1 << 22
 END_ID = 2
-#: Cuts in each generation of the memo: about 100 MB in all.
+#: Words in each generation of the memo: about 100 MB in all.
 MEMO = 500_000
-#: Documents that are cut and looked up together.
-DOCS = 256
+#: Documents that are encoded together, and the bytes of them that are looked up together (and what is left of the last word).
+DOCS, CHUNK = 256, 1 << 20
+_WHITE = re.compile(rb"[\x09-\x0d \x85\xa0]")
 _HEADER = struct.Struct("<8sIIQQQQ")  # magic, bits, block, n_docs, n_ids, n_blocks, ids before it in its partition
 _MAGIC = b"TLTOKEN1"
 NO_ID = np.iinfo(np.int64).min
@@ -129,60 +131,91 @@ class Shard:
 
 
 class Encoder:
-    """Whole texts to ids with the tokenizers library, each distinct cut encoded once while the memo holds it."""
+    """Whole texts to ids with the tokenizers library, each distinct word encoded once while the memo holds it."""
 
     def __init__(self, path: str):
         self.lib = library(path)
-        self.plain = for_cuts(path)
+        self.plain = for_words(path)
         self.memo = Memo(self._one, MEMO)
         vocab = spec(path)[0]
         #: By id: does it end a word?
         self.last = np.zeros(self.lib.get_vocab_size(with_added_tokens=True), bool)
         self.last[[i for t, i in vocab.items() if t.endswith(END)]] = True
 
-    def _one(self, cut: str) -> bytes:
-        return np.array(self.plain.encode(cut, add_special_tokens=False).ids, "<u4").tobytes()
+    def _one(self, word: str) -> bytes:
+        return np.array(self.plain.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _whole(self, part: str) -> bytes:
-        return np.array(self.lib.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, part: str) -> np.ndarray:
+        return np.array(self.lib.encode(part, add_special_tokens=False).ids, "<u4")
 
-    def _many(self, cuts: list[str]) -> list[bytes]:
-        """_one() of each, by one call of the library: words end where an id ends one, and a cut's words are counted."""
-        ids = np.array(self.plain.encode_batch_fast([" ".join(cuts)], add_special_tokens=False)[0].ids, "<u4")
-        stops = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1])
-        counts = np.cumsum([0, *map(len, map(words_in, cuts))])
-        if counts[-1] != len(stops) - 1:
-            return [self._one(c) for c in cuts]
-        at, raw = (stops[counts] * 4).tolist(), ids.tobytes()
+    def _many(self, words: list[str]) -> list[bytes]:
+        """_one() of each, by one call of the library: a word ends where an id ends one."""
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(self.last[ids]) + 1
+        if len(stops) != len(words):
+            return [self._one(w) for w in words]
+        at, raw = [0, *(stops * 4).tolist()], ids.tobytes()
         return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-    def _ids_of(self, distinct: set[str]) -> dict[str, bytes]:
-        """The ids of each cut: from the memo, or encoded and, if the cut is short, kept in it."""
+    def _ids_of(self, distinct: list[str]) -> list[bytes]:
+        """The ids of each word: from the memo, or encoded and, if the word is short, kept in it."""
         memo, old, new = self.memo, self.memo.old, []
-        out = dict(zip(distinct, map(memo.get, distinct), strict=True))
-        for c in [c for c, b in out.items() if b is None]:
-            b = old.get(c)
+        out = list(map(memo.get, distinct))
+        for k in [k for k, b in enumerate(out) if b is None]:
+            b = out[k] = old.get(distinct[k])
             if b is None:
-                new.append(c)
+                new.append(k)
             else:
-                out[c] = b
-                memo.put(c, b)
-        for k in range(0, len(new), 2000):
-            for c, b in zip(new[k : k + 2000], self._many(new[k : k + 2000]), strict=True):
-                out[c] = b
-                if len(c) <= MEMO_CHARS:
-                    memo.put(c, b)
+                memo.put(distinct[k], b)
+        for j in range(0, len(new), 2000):
+            some = new[j : j + 2000]
+            for k, b in zip(some, self._many([distinct[k] for k in some]), strict=True):
+                out[k] = b
+                if len(distinct[k]) <= MEMO_CHARS:
+                    memo.put(distinct[k], b)
         return out
 
+    def _looked_up(self, raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of Latin-1 bytes in lower case, and how many of them come before each of the places `cuts`, where no word goes on."""
+        on, first = words_at(raw)
+        begins = np.flatnonzero(first)
+        if not len(begins):
+            return np.zeros(0, "<u4"), np.zeros(len(cuts), np.int64)
+        solid = raw[on]
+        offsets = np.append(np.flatnonzero(first[on]), len(solid))
+        # Told apart by Arrow's table of whole words, so that each distinct one is a Python string once.
+        words = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(solid)]).dictionary_encode()
+        _, at, data = words.dictionary.buffers()
+        at, text = np.frombuffer(at, np.int64)[: len(words.dictionary) + 1].tolist(), data.to_pybytes().decode("latin-1")
+        found = self._ids_of([text[a:b] for a, b in zip(at, at[1:], strict=False)])
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        code = words.indices.to_numpy()
+        size = sizes[code]
+        ends = np.append(0, np.cumsum(size))
+        places = np.repeat((np.cumsum(sizes) - sizes)[code] - ends[:-1], size)
+        places += np.arange(len(places))
+        return ids[places], ends[np.searchsorted(begins, cuts)]
+
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        split = [[(True, p) if s or not latin(p) else (False, cuts(p)) for s, p in parts(t)] for t in texts]
-        # Looked up once for each distinct cut; a batch's own dict is small enough for the CPU's caches.
-        ids = self._ids_of(set().union(*[p for t in split for whole, p in t if not whole]))
-        out = []
+        split = [parts(t) for t in texts]
+        plain = [p.encode("latin-1") for t in split for s, p in t if not s and latin(p)]
+        raw = b"\n".join([*plain, b""]).translate(LOWER)
+        stops = np.cumsum([0] + [len(p) + 1 for p in plain])
+        ids, before, n, a = [], [], 0, 0
+        while a < len(raw):  # a chunk ends at white space
+            gap = _WHITE.search(raw, a + CHUNK)
+            b = gap.end() if gap else len(raw)
+            got, at = self._looked_up(np.frombuffer(raw, np.uint8)[a:b], stops[np.searchsorted(stops, a) : np.searchsorted(stops, b)] - a)
+            ids.append(got)
+            before.append(n + at)
+            n, a = n + len(got), b
+        ids, ends = np.concatenate([np.zeros(0, "<u4"), *ids]), np.concatenate([*before, [n]])
+        plain, out = iter([ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]), []
         for t in split:
-            b = b"".join([self._whole(p) if whole else b"".join(map(ids.__getitem__, p)) for whole, p in t])
-            out.append(np.frombuffer(b, "<u4"))
+            got = [next(plain) if not s and latin(p) else self._whole(p) for s, p in t]
+            out.append(got[0] if len(got) == 1 else np.concatenate(got))
         return out
 
 

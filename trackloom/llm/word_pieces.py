@@ -13,6 +13,7 @@ import json
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import regex
 
 from trackloom.llm.common import kept
@@ -29,6 +30,10 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}
 _SPACE = regex.compile(r"[^\p{White_Space}]+")
 #: str.split() takes these for white space; the pattern doesn't.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Latin-1 bytes in lower case, and their kinds: white space, letter, number, other.
+LOWER = bytes(ord(chr(c).lower()) for c in range(256))
+_WHITE, _LETTER, _NUMBER, _OTHER = range(4)
+_KIND = np.array([next(k for k, p in enumerate((r"\p{White_Space}", r"\p{L}", r"\p{N}", ".")) if regex.fullmatch(p, chr(c), regex.DOTALL)) for c in range(256)], np.uint8)
 
 
 @kept
@@ -81,12 +86,14 @@ def library(path: str):
     return t
 
 
-def for_cuts(path: str):
-    """library() for cuts: the normaliser leaves them as they are, and what reads like a special token in lower case is none."""
+def for_words(path: str):
+    """library() for words_in() joined by spaces: nothing is normalised or cut further, and what reads like a special token in lower case is none."""
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
     t = Tokenizer.from_str(library(path).to_str())
     t.normalizer = None
+    t.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
     t.encode_special_tokens = True
     return t
 
@@ -128,6 +135,26 @@ def words_in(cut: str) -> list[str]:
     return PATTERN.findall(cut)
 
 
+def words_at(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """words_in() of all cuts of Latin-1 bytes in lower case: which bytes are no white space, and which begin a word."""
+    kind = _KIND[raw]
+    on = kind != _WHITE
+    first = on.copy()
+    first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
+    # A run of "'" alone takes s, t, m, d, re, ve or ll with it.
+    at = np.flatnonzero((raw == ord("'")) & first)
+    if len(at):
+        after = np.concatenate([raw, np.zeros(3, np.uint8)])
+        a, b = after[at + 1], after[at + 2]
+        size = np.isin(a, list(b"stmd")) + 2 * (((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l")))
+        at, size = at[size > 0], size[size > 0]
+        first[at + 1] = False
+        rest = at + 1 + size
+        rest = rest[rest < len(raw)]
+        first[rest] = on[rest]
+    return on, first
+
+
 def parts(text: str) -> list[tuple[bool, str]]:
     """The text cut at special tokens: (is it one, string)."""
     if "<|" not in text:
